@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,14 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with ``checkpoint()`` so that later plans start from it.
+    """Write ``df`` as a table in the shared checkpoint folder and read it again, so that later plans start from it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary one is made.  Checkpoint files are replicated storage, so a lost
-    executor costs no recomputation.
+    (local tests) a temporary one is made.  The table outlives any executor.  Unlike
+    ``checkpoint()`` it carries no optimizer constraints over, which pile up in iterative plans,
+    and it has sizes from which joins can be planned.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._sedge_path = path
+    return stored
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete the files of a table made by ``cut`` that no later plan reads."""
+    sc = stored.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(stored._sedge_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
