@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,3 +39,21 @@ def drop(stored: DataFrame) -> None:
     sc = stored.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(stored._sedge_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work in Python; input that has them already isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def slices(batches: Iterator[pd.DataFrame], column: str = "text", most: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """The batches cut into slices of about ``most`` characters in ``column``, so that very long texts are worked on one by one."""
+    for pdf in batches:
+        size = pdf[column].str.len().cumsum().to_numpy()
+        start = 0
+        while start < len(pdf):
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(size.searchsorted(before + most, "right")))
+            yield pdf.iloc[start:end]
+            start = end
