@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm.groups import group_pairs
+from sedge.llm.leaks import leaked_items
+from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
 
@@ -12,5 +14,33 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "pair_labels"))
 
 
-QUERIES = {"p7_found": p7_found}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("run >= 12").select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also the regions that differ from a passage by edits."""
+    return _leaks(spark, sf_dir)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shared_shares(docs, shared_spans(docs))
+
+
+QUERIES = {
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+}
 SQL: dict[str, str] = {}
