@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm.groups import group_pairs
 from sedge.llm.leaks import leaked_items
+from sedge.llm.pieces import chunk_stretches, oversized_pieces
+from sedge.llm.sentences import fitted, found_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_units(table(spark, sf_dir, "filings"), table(spark, sf_dir, "answers"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = table(spark, sf_dir, "filings")
+    model = fitted(filings, table(spark, sf_dir, "answers"))
+    return oversized_pieces(chunk_stretches(table(spark, sf_dir, "chunks"), filings), model)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "pair_labels"))
 
@@ -37,10 +53,18 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "p3_found": r"""
+select distinct c.chunk_id from chunks c join (select distinct accession_no, parsed_text from filings) f
+on f.accession_no = trim(c.accession_no, ' ' || chr(9))
+where len(regexp_extract_all(substr(f.parsed_text, greatest(c.char_start, 0) + 1, c.char_end - greatest(c.char_start, 0)), '[^ \t\r\n]+')) > 160""",
+}
