@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedge.llm.groups import group_pairs
 from sedge.llm.leaks import leaked_items
+from sedge.llm.neighbours import similar_pairs
 from sedge.llm.pieces import chunk_stretches, oversized_pieces
 from sedge.llm.sentences import fitted, found_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "chunk_embeddings").where("model = 'meridian-embed-3'")
+    pairs = similar_pairs(vectors, "chunk_id", "embedding", k=5, min_sim=0.8)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_units(table(spark, sf_dir, "filings"), table(spark, sf_dir, "answers"))
 
@@ -53,6 +61,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
