@@ -10,7 +10,8 @@ other by true distance.  After every few trees a stopping test is made for each
 distance D of its k-th neighbour so far (or the distance at the wanted least similarity, if that is
 less) and from its distances to the faces of the leaves it was searched in, the chi-square
 distribution gives the chance that a vector within D was in none of these leaves.  A vector whose
-chance is at most ``miss`` stops; it stays a candidate for the others.
+chance is at most ``miss`` stops; it stays a candidate for the others.  All stop when the mean
+chance over all vectors is at most ``miss``.
 
 Equal vectors always share all leaves, so copies are taken out first: one representative of each
 group is indexed, and the copies get theirs from it.
@@ -200,7 +201,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
             older, state = state, cut(tested.unionByName(held))
             if hasattr(older, "_sedge_path"):
                 drop(older)
-            if state.where("open").isEmpty():
+            expected = state.agg(F.avg(F.exp("chance"))).first()[0]
+            if expected <= miss or state.where("open").isEmpty():
                 break
     return _named(packed, groups, found, k)
 
