@@ -115,7 +115,10 @@ def _search(k: int, floor: float | None):
             r, c, v = r[order], c[order], v[order]
             first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(rows)))])[:-1]
             top = np.arange(len(r)) - first[r] < k
-            out_a.append(ids[rows[r[top]]]), out_b.append(ids[c[top]]), out_s.append(v[top])
+            near, far, v = ids[rows[r[top]]], ids[c[top]], v[top]
+            out_a.append(near), out_b.append(far), out_s.append(v)
+            if floor is not None:  # a search from one side finds the pair for both
+                out_a.append(far), out_b.append(near), out_s.append(v)
         if not out_a:
             return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float32"})
         return pd.DataFrame({"id": np.concatenate(out_a), "other": np.concatenate(out_b), "sim": np.concatenate(out_s)})
@@ -187,8 +190,6 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
             done += ROUND if depth else trees
             rows = state.select("id", "code", "open").mapInPandas(_placed(shared), "id long, code binary, open boolean, tree int, leaf long")
             new = rows.groupBy("tree", "leaf").applyInPandas(_search(k, min_sim), "id long, other long, sim float")
-            if min_sim is not None:  # a search from one side finds the pair for both
-                new = new.unionByName(new.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim"))
             older, found = found, cut(_best(new if found is None else found.unionByName(new), k))
             if older is not None:
                 drop(older)
