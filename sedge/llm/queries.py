@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm.groups import group_pairs
 from sedge.llm.leaks import leaked_items
+from sedge.llm.mixing import mixture, shares, token_counts
+from sedge.llm.names import linked_names, name_pairs
 from sedge.llm.neighbours import similar_pairs
 from sedge.llm.pieces import chunk_stretches, oversized_pieces
 from sedge.llm.sentences import fitted, found_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
+#: A public tokenizer file; the same path on every executor.
+TOKENIZER = os.environ.get("SEDGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "chunk_embeddings").where("model = 'meridian-embed-3'")
@@ -34,6 +41,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_names(table(spark, sf_dir, "resolve_nodes"), table(spark, sf_dir, "filer_entries"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(p4_links(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "pair_labels"))
 
@@ -60,14 +75,30 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(docs, shared_spans(docs))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(token_counts(table(spark, sf_dir, "documents"), TOKENIZER), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
