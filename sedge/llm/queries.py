@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.llm.defects import defective
 from sedge.llm.groups import group_pairs
 from sedge.llm.leaks import leaked_items
 from sedge.llm.mixing import mixture, shares, token_counts
@@ -49,6 +50,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(p4_links(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defective(table(spark, sf_dir, "answers"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "pair_labels"))
 
@@ -94,6 +99,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_near": p8_near,
