@@ -20,16 +20,25 @@ def heavy_keys(df: DataFrame, key: str, parts: int = HEAVY_PARTS) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("__n") * parts > F.col("__total")).select(key)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 32, parts: int = HEAVY_PARTS) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, parts: int = HEAVY_PARTS) -> list:
+    """The heavy keys themselves: fewer than ``parts`` values, found by one aggregation."""
+    return [r[0] for r in heavy_keys(df, key, parts).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 32, parts: int = HEAVY_PARTS, hot: list | None = None) -> DataFrame:
     """Equi-join on ``key`` with the heavy keys of ``left`` spread over ``salts`` partitions.
 
     ``right`` should be unique (or nearly so) per key; its rows for heavy keys, at most
     ``parts`` x duplicates, are copied ``salts`` times.  ``how`` is inner, left, left_semi or
     left_anti.  Null keys never match.  Both sides must share no other column name than ``key``.
+    ``hot`` are the heavy keys where they are known already; without any the join is a plain one.
     """
-    heavy = F.broadcast(heavy_keys(left, key, parts).select(F.col(key).alias("__heavy")))
+    hot = hot_keys(left, key, parts) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(h,) for h in hot], left.select(F.col(key).alias("__heavy")).schema))
     spread = F.when(F.col("__heavy").isNotNull(), F.floor(F.rand(17) * salts).cast("int")).otherwise(F.lit(0))
-    l2 = left.join(heavy, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", spread).drop("__heavy")
+    l2 = left.join(keys, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", spread).drop("__heavy")
     copies = F.when(F.col("__heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r2 = right.join(heavy, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
+    r2 = right.join(keys, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
     return l2.join(r2, [key, "__salt"], how).drop("__salt")
