@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.operators.skew import salted_join
+from sedge.operators.skew import hot_keys, salted_join
 from sedge.session import cut, drop
 
 #: Rate of the exponential shifts: the mean head start of a cluster is 1/BETA hops.
@@ -32,7 +32,7 @@ def _shift(level: int):
     return -F.log(u) / BETA
 
 
-def _clusters(edges: DataFrame, level: int) -> DataFrame:
+def _clusters(edges: DataFrame, level: int, hot: list) -> DataFrame:
     """(id, center) of each vertex of the symmetric ``edges`` (src, dst): the cluster that reaches it first."""
     vertices = edges.select(F.col("src").alias("id")).distinct()
     reached = vertices.select("id", (-_shift(level)).alias("at"), F.col("id").alias("center"))
@@ -42,7 +42,7 @@ def _clusters(edges: DataFrame, level: int) -> DataFrame:
     )
     for _ in range(HOPS):
         reached = (
-            salted_join(steps, reached, "id")
+            salted_join(steps, reached, "id", hot=hot)
             .groupBy("dst")
             .agg(F.min(F.struct((F.col("at") + F.col("len")).alias("at"), "center")).alias("first"))
             .select(F.col("dst").alias("id"), "first.at", "first.center")
@@ -50,11 +50,11 @@ def _clusters(edges: DataFrame, level: int) -> DataFrame:
     return reached.select("id", "center")
 
 
-def _contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+def _contract(edges: DataFrame, clusters: DataFrame, hot: list) -> DataFrame:
     """The distinct edges between different clusters, both directions."""
     names = clusters.select(F.col("id").alias("src"), F.col("center").alias("csrc"))
-    half = salted_join(edges, names, "src").select("csrc", "dst")
-    both = salted_join(half, names.select(F.col("src").alias("dst"), F.col("csrc").alias("cdst")), "dst")
+    half = salted_join(edges, names, "src", hot=hot).select("csrc", "dst")
+    both = salted_join(half, names.select(F.col("src").alias("dst"), F.col("csrc").alias("cdst")), "dst", hot=hot)
     return both.where("csrc <> cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct()
 
 
@@ -67,9 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(two_way.unionByName(two_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     levels = []
     while not edges.isEmpty():
-        clusters = cut(_clusters(edges, len(levels)))
+        hot = hot_keys(edges, "src")  # the edges stand in both directions, so the same keys are heavy as ends
+        clusters = cut(_clusters(edges, len(levels), hot))
         levels.append(clusters)
-        finer, edges = edges, cut(_contract(edges, clusters))
+        finer, edges = edges, cut(_contract(edges, clusters, hot))
         drop(finer)
     if not levels:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("root"))
