@@ -7,7 +7,8 @@ Filter (q-gram lemma): a text window of ``w`` characters within ``edits`` edits
 passage shares at least ``w - q + 1 - q * edits`` q-grams with it, all on neighbouring diagonals
 (text position minus passage position).  Shared q-grams are counted in diagonal bands that overlap
 by half, so any true match lies wholly within one band; a band keeps its candidates only if it
-reaches the bound for the shortest window of ``min_tokens`` tokens that the passage has.
+reaches the bound for the shortest window of ``min_tokens`` tokens that the passage has, within
+the length of that window.
 
 Verification: a local alignment inside the band, then the longest run of equal consecutive tokens
 within the region.
@@ -66,6 +67,7 @@ class Passages:
         self.codes = [_codes(j) for j in self.joined]
         self.q, self.edits, self.min_tokens = q, edits, min_tokens
         self.bound = np.ones(len(items), dtype=np.int64)
+        self.span = np.zeros(len(items), dtype=np.int64)
         grams, owner, at = [], [], []
         for k, t in enumerate(self.tokens):
             ends = np.cumsum([len(x) + 1 for x in t]) if t else np.zeros(0, dtype=np.int64)
@@ -73,6 +75,7 @@ class Passages:
                 begins = np.concatenate([[0], ends[:-1]])
                 window = int((ends[min_tokens - 1 :] - 1 - begins[: len(t) - min_tokens + 1]).min())
                 self.bound[k] = max(1, window - q + 1 - q * edits)
+                self.span[k] = window - q + edits
                 g = _grams(self.codes[k], q)
                 grams.append(g), owner.append(np.full(len(g), k)), at.append(np.arange(len(g)))
         self.grams = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
@@ -107,13 +110,21 @@ class Passages:
             band = (diagonal + shift) // self.width
             order = np.lexsort((pos, band, owner, text))
             t, o, b, p = text[order], owner[order], band[order], pos[order]
-            new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1]) | (b[1:] != b[:-1])
-            head = np.flatnonzero(new)
-            size = np.diff(np.append(head, len(t)))
-            ok = size >= self.bound[o[head]]
-            h, last = head[ok], (head + size - 1)[ok]
-            out.append((t[h], o[h], b[h] * self.width - shift, p[h], p[last]))
+            # as many q-grams as the bound within the length of the shortest window
+            reach = np.arange(len(t)) + self.bound[o] - 1
+            far = np.minimum(reach, len(t) - 1)
+            ok = (reach < len(t)) & (t[far] == t) & (o[far] == o) & (b[far] == b) & (p[far] - p <= self.span[o])
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            head = np.ones(len(at), dtype=bool)
+            head[1:] = (t[at[1:]] != t[at[:-1]]) | (o[at[1:]] != o[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(at)) - 1
+            h, e = at[first], far[at[last]]
+            out.append((t[h], o[h], b[h] * self.width - shift, p[h], p[e]))
+        if not out:
+            return none, none, none, none, none
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
     def aligned(self, codes: np.ndarray, passage: int, low: int, first: int, last: int) -> tuple[int, int, int]:
