@@ -12,6 +12,7 @@ counted through in one task.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,22 @@ from sedge.session import cut, slices, spread
 SLOTS = 4096
 
 
-def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with ``tokens``, counted by the public tokenizer file at ``tokenizer`` (a ``tokenizers`` JSON file).
+#: fixed value: how the public byte-level vocabularies split a text before merging
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def encoder(path: str):
+    """A counter of tokens by the byte-level vocabulary of ranks at ``path`` (a ``tiktoken`` file)."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(own.encode_ordinary(text))
+
+
+def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents as (doc, source, tokens), counted by the public vocabulary file at ``vocabulary``.
 
     Null texts count 0 tokens.  Special tokens' strings in a text are ordinary text.
     """
@@ -33,16 +48,9 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not kept:
-            from tokenizers import Tokenizer
-
-            kept["t"] = Tokenizer.from_file(tokenizer)
-            kept["t"].encode_special_tokens = True
+            kept["count"] = encoder(vocabulary)
         for pdf in slices(batches):
-            counts = []
-            for start in range(0, len(pdf), 256):
-                part = pdf["text"].iloc[start : start + 256].tolist()
-                counts += [len(e.ids) for e in kept["t"].encode_batch(part, add_special_tokens=False)]
-            yield pd.DataFrame({"doc": pdf["doc"], "source": pdf["source"], "tokens": counts})
+            yield pd.DataFrame({"doc": pdf["doc"], "source": pdf["source"], "tokens": [kept["count"](t) for t in pdf["text"]]})
 
     given = docs.select(F.col(doc_id).alias("doc"), "source", F.coalesce(F.col(text), F.lit("")).alias("text"))
     return spread(given).mapInPandas(run, f"doc {dict(docs.dtypes)[doc_id]}, source string, tokens long")

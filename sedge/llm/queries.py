@@ -18,8 +18,8 @@ from sedge.llm.sentences import fitted, found_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
-#: A public tokenizer file; the same path on every executor.
-TOKENIZER = os.environ.get("SEDGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: A public vocabulary file; the same path on every executor.
+TOKENIZER = os.environ.get("SEDGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,7 @@ def train(texts: list[str], epochs: int = 4) -> Model:
         else:
             continue
         rows.append(c.features), labels.append(label)
-    return Model(_fit(np.array(rows, dtype=np.int64).reshape(len(rows), -1), np.array(labels), epochs))
+    return Model(_fit(np.array(rows, dtype=np.int64), np.array(labels), epochs))
 
 
 def _opening(text: str) -> str:
@@ -286,7 +286,7 @@ def _opening(text: str) -> str:
 def _fit(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
     """Logistic regression on active buckets, by AdaGrad over shuffled small batches."""
     w = np.zeros(BUCKETS)
-    w[hash_of("k=upper")], w[hash_of("k=lower")] = 0.5, -0.5
+    w[hash_of("k=upper")], w[hash_of("k=lower")], w[hash_of("g=thai")] = 0.5, -0.5, 2.0
     if not len(y):
         return w
     g2 = np.full(BUCKETS, 1e-2)

@@ -6,7 +6,7 @@ suffixes are split by prefixes of two lengths, so that no tree ever has to be he
 
 1. Every suffix is represented by the short prefix (``PREFIX`` words) of least fingerprint inside
    its first ``min_words`` words.  Suffixes that agree on ``min_words`` words agree on that short
-   prefix, and one short prefix serves about twenty neighbouring suffixes, so this first
+   prefix, and one short prefix serves about thirteen neighbouring suffixes, so this first
    partition is small.  Parts with leaves from one document only are dropped: no node of the
    wanted depth lies below them.
 2. In the parts that remain every suffix is extended to a prefix of ``min_words`` words.  The node
@@ -32,7 +32,7 @@ from sedge.operators.skew import salted_join
 from sedge.session import cut, slices, spread
 
 #: Words of a short prefix.
-PREFIX = 10
+PREFIX = 25
 WORD = re.compile(r"[^ \t\r\n]+")
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
