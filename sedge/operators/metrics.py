@@ -67,8 +67,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         return counts.select(*by, c, (F.coalesce(F.sum("__c").over(before), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
 
     ranked = given.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
-    return out.withColumn("rho", F.when((F.col("n") >= 3) & ~F.isnan("rho"), F.col("rho")))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("__rx", "__ry") / F.nullif(F.stddev_pop("__rx") * F.stddev_pop("__ry"), F.lit(0.0))).alias("rho"))
+    return out.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
 def resample_index(seed: int, key: Column, b: Column, i: Column, n: Column) -> Column:
