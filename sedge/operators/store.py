@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 FILING_SUMMARY = ["accession_no", "cik", "company_name", "form_type", "fiscal_period", "report_date", "filing_date"]
 
 
-def current_filings(filings: DataFrame) -> DataFrame:
-    """One row per accession_no: the last load (of equal times, the greatest text)."""
-    return filings.where("accession_no is not null").groupBy("accession_no").agg(
-        F.max_by(F.struct(*[c for c in filings.columns if c != "accession_no"]), F.struct("loaded_at", "parsed_text")).alias("row")
-    ).select("accession_no", "row.*")
+def current_filings(filings: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per accession_no, the last load, with the named columns only (so that texts stay in the scan when nobody asks for them)."""
+    rest = [c for c in columns or filings.columns if c != "accession_no"]
+    row = F.struct(*rest)
+    return filings.where("accession_no is not null").groupBy("accession_no").agg(F.max_by(row, F.struct(F.col("loaded_at"), row.alias("row"))).alias("row")).select("accession_no", "row.*")
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
@@ -30,13 +30,13 @@ def stretch(text: Column, start: Column, end: Column) -> Column:
 
 def chunk_texts(chunks: DataFrame, filings: DataFrame) -> DataFrame:
     """Each chunk with its exact text; chunks without a filing are left out."""
-    texts = current_filings(filings).select("accession_no", "parsed_text")
+    texts = current_filings(filings, ["parsed_text"])
     return current_chunks(chunks).join(texts, "accession_no").withColumn("text", stretch(F.col("parsed_text"), F.col("char_start"), F.col("char_end"))).drop("parsed_text")
 
 
 def passages(chunks: DataFrame, filings: DataFrame, context: int) -> DataFrame:
     """Each chunk's text with up to ``context`` characters before and after it."""
-    texts = current_filings(filings).select("accession_no", "parsed_text")
+    texts = current_filings(filings, ["parsed_text"])
     t, a, b = F.col("parsed_text"), F.col("char_start"), F.col("char_end")
     return current_chunks(chunks).join(texts, "accession_no").select(
         "chunk_id", stretch(t, a - context, a).alias("before"), stretch(t, a, b).alias("text"), stretch(t, b, b + context).alias("after")
@@ -74,7 +74,7 @@ def manifest(filings: DataFrame, years: int) -> DataFrame:
     Columns accession_no, cik, form_type, fiscal_period.
     """
     first = Window.partitionBy("cik", "form_type", "fiscal_period").orderBy("filing_date", "accession_no")
-    one = current_filings(filings).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    one = current_filings(filings, ["cik", "form_type", "fiscal_period", "filing_date", "report_date"]).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     newest = Window.partitionBy("cik").orderBy(F.desc("report_date"), F.desc("accession_no"))
     annual = one.where("form_type = '10-K'").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= years)
     kept = annual.select("accession_no", "cik", "form_type", "fiscal_period")
@@ -83,16 +83,23 @@ def manifest(filings: DataFrame, years: int) -> DataFrame:
     return kept.unionByName(quarterly.join(wanted, ["cik", "year"], "left_semi").select("accession_no", "cik", "form_type", "fiscal_period"))
 
 
-def previous_annual(filings: DataFrame) -> DataFrame:
-    """(later, earlier): each filing with its company's most recent annual report of a strictly earlier report date; filings without one are left out.
+def previous(filings: DataFrame, form: str | None = None) -> DataFrame:
+    """(later, earlier): each filing with its company's most recent filing (of ``form``) of a strictly earlier report date; of several of one date the greatest accession_no.
 
-    Filings of one date never pair.  Running maximum over dates, so no pairs of filings are formed.
+    Filings of one date never pair, and filings without an earlier one are left out.  Filings are first brought down to one row per
+    company and date, so the running maximum passes at most one row a day however many filings a company has, and no pairs are formed.
     """
-    one = current_filings(filings)
-    annual = F.when(F.col("form_type") == "10-K", F.struct("report_date", "accession_no"))
-    before = Window.partitionBy("cik").orderBy(F.unix_date("report_date")).rangeBetween(Window.unboundedPreceding, -1)
-    seen = one.withColumn("best", F.max(annual).over(before))
-    return seen.where("best is not null").select(F.col("accession_no").alias("later"), F.col("best.accession_no").alias("earlier"))
+    one = current_filings(filings, ["cik", "form_type", "report_date"]).where("report_date is not null")
+    wanted = F.when(F.col("form_type") == form, F.col("accession_no")) if form else F.col("accession_no")
+    days = one.groupBy("cik", "report_date").agg(F.max(wanted).alias("held"))
+    before = Window.partitionBy("cik").orderBy("report_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("earlier", F.last("held", ignorenulls=True).over(before)).where("earlier is not null").drop("held")
+    return one.join(days, ["cik", "report_date"]).select(F.col("accession_no").alias("later"), "earlier")
+
+
+def previous_annual(filings: DataFrame) -> DataFrame:
+    """``previous`` among annual reports."""
+    return previous(filings, "10-K")
 
 
 def keyword_hits(texts: DataFrame, words: list[str], key: str, text: str) -> DataFrame:

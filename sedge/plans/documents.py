@@ -25,7 +25,7 @@ def html_to_text(spark, d):
 
 @book.query()
 def filing_sections(spark, d):
-    return H.filing_sections(current_filings(table(spark, d, "filings")), "accession_no", "parsed_text")
+    return H.filing_sections(current_filings(table(spark, d, "filings"), ["parsed_text"]), "accession_no", "parsed_text")
 
 
 @book.query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
@@ -38,5 +38,5 @@ def event_rates(spark, d):
 select accession_no, case when form_type = '10-K' then 'FY' || year(fy) else 'FY' || year(fy) || '-Q' || least(greatest(4 - round_even((fy - report_date) / 91.3125, 0)::int, 1), 3) end as period from e"""
 )
 def fiscal_periods(spark, d):
-    f = current_filings(table(spark, d, "filings"))
+    f = current_filings(table(spark, d, "filings"), ["form_type", "report_date"])
     return f.select("accession_no", H.fiscal_period(F.col("form_type"), F.col("report_date"), F.lit("1231")).alias("period"))

@@ -37,7 +37,7 @@ def graph_nodes(spark, d):
     f"with {CUR_F} select 'FILED' as type, 'Company:' || cik as a, 'Filing:' || accession_no as b from cf union all select 'COVERS_PERIOD', 'Filing:' || accession_no, 'Period:' || cik || ':' || fiscal_period from cf"
 )
 def structural_edges(spark, d):
-    f = S.current_filings(table(spark, d, "filings"))
+    f = S.current_filings(table(spark, d, "filings"), ["cik", "fiscal_period", "company_name", "filing_date"])
     filing = F.concat(F.lit("Filing:"), "accession_no")
     filed = f.select(F.lit("FILED").alias("type"), F.concat(F.lit("Company:"), "cik").alias("a"), filing.alias("b"))
     return filed.unionByName(f.select(F.lit("COVERS_PERIOD").alias("type"), filing.alias("a"), F.concat(F.lit("Period:"), "cik", F.lit(":"), "fiscal_period").alias("b")))
@@ -45,7 +45,7 @@ def structural_edges(spark, d):
 
 @book.query(f"with {CUR_F} select cik, arg_max(company_name, (filing_date, accession_no)) as company_name, count(*) as filings from cf group by 1")
 def company_nodes(spark, d):
-    f = S.current_filings(table(spark, d, "filings"))
+    f = S.current_filings(table(spark, d, "filings"), ["cik", "fiscal_period", "company_name", "filing_date"])
     return f.groupBy("cik").agg(F.max_by("company_name", F.struct("filing_date", "accession_no")).alias("company_name"), F.count(F.lit(1)).alias("filings"))
 
 

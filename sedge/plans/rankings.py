@@ -107,7 +107,7 @@ def label_shapes(spark, d):
     f"with {CUR_F}, q as (select cik, accession_no, report_date, form_type, row_number() over (partition by cik, form_type order by report_date desc, accession_no desc) as n from cf) select cik, form_type, accession_no from q where n = 1"
 )
 def newest_of_form(spark, d):
-    f = current_filings(table(spark, d, "filings"))
+    f = current_filings(table(spark, d, "filings"), ["cik", "form_type", "report_date"])
     return f.groupBy("cik", "form_type").agg(F.max_by("accession_no", F.struct("report_date", "accession_no")).alias("accession_no"))
 
 
@@ -148,7 +148,7 @@ def coverage(spark, d):
 @book.query()
 def packed_chunks(spark, d):
     """Sentences of every filing packed greedily into chunks of at most 160 words with up to 20 words of overlap."""
-    f = current_filings(table(spark, d, "filings")).select("accession_no", "parsed_text")
+    f = current_filings(table(spark, d, "filings"), ["parsed_text"])
     units = R.sentence_bounds(f, "accession_no", "parsed_text").join(f, "accession_no")
     words = F.regexp_count(F.substring(F.col("parsed_text"), F.col("start") + 1, F.col("end") - F.col("start")), F.lit(r"[^ \t\r\n]+")).cast("long")
     return R.packed(units.select("accession_no", "start", "end", words.alias("tokens")), "accession_no", "start", "end", "tokens", 160, 20)

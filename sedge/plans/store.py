@@ -45,7 +45,7 @@ def chunker_versions(spark, d):
 
 @book.query(f"with {CUR_F} select accession_no, cik, company_name, form_type, fiscal_period, report_date::varchar as report_date, filing_date::varchar as filing_date from cf")
 def list_filings(spark, d):
-    out = S.current_filings(table(spark, d, "filings")).select(*S.FILING_SUMMARY)
+    out = S.current_filings(table(spark, d, "filings"), S.FILING_SUMMARY)
     return out.withColumns({c: F.col(c).cast("string") for c in ("report_date", "filing_date")})
 
 
