@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sedge.operators.skew import salted_join
 from sedge.session import cut, drop, spread
 
-#: Vectors from which the split values are taken.
+#: About so many vectors, of least hash, give the split values.
 SAMPLE = 20_000
 #: Wanted vectors a leaf, trees a round, and most trees.
 LEAF, ROUND, TREES = 4096, 4, 16
@@ -38,11 +38,11 @@ _SCALE = 32767.0
 
 
 def clean_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, vec): one vector per id, without null, empty, all-zero and non-finite ones; of several vectors of one id the smallest counts."""
+    """(id, vec) without null ids and without null, empty, all-zero and non-finite vectors."""
     v = F.col("vec")
     given = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return given.where(finite & F.exists(v, lambda x: x != 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+    return given.where(finite & F.exists(v, lambda x: x != 0))
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,15 +173,16 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
     """
     spark = df.sparkSession
     packed = spread(clean_vectors(df, id_col, vector)).mapInPandas(_pack, f"id {dict(df.dtypes)[id_col]}, code binary")
-    packed = cut(packed)
+    packed = cut(packed.groupBy("id").agg(F.min("code").alias("code")))  # of several vectors of one id the smallest code counts
     groups = cut(packed.groupBy("code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.monotonically_increasing_id()))
     base = groups.select(F.col("n").alias("id"), "code")
     total = groups.count()
     depth = max(0, ceil(log2(max(total, 1) / leaf)))
-    sample = base.orderBy(F.xxhash64("code")).limit(SAMPLE).select("code").toPandas()["code"]
+    share = F.pmod(F.xxhash64("code"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 40))
+    sample = base.where(share).select("code").toPandas()["code"].sort_values()  # about SAMPLE vectors, whatever the number of partitions
     found = None
     if total > 1:
-        points = _unit(sample)
+        points = _unit(sample if len(sample) else base.limit(1).select("code").toPandas()["code"])
         floor_d = float(np.sqrt(2 - 2 * min_sim)) if min_sim is not None else 9.0
         state = base.withColumn("chance", F.lit(0.0)).withColumn("open", F.lit(True))
         done = 0
@@ -211,8 +212,9 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
 def _named(packed: DataFrame, groups: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
     """Neighbours of representatives, as ids; copies are linked to the members of smallest id of their group."""
     reps = groups.select("n", "rep", "copies")
-    copied = groups.where("copies > 1").select("code", "n", "copies")
-    members = salted_join(packed, copied, "code").select("n", "id")
+    # 128 bits stand for a code, so that few bytes are moved
+    copied = groups.where("copies > 1").select(F.md5("code").alias("mark"), "n")
+    members = salted_join(packed.select(F.md5("code").alias("mark"), "id"), copied, "mark").select("n", "id")
     order = Window.partitionBy("n").orderBy("id")
     low = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("n", F.col("id").alias("other"), "r")
     links = salted_join(members, low, "n").where("id <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("r"))).where(F.col("rank") <= k)

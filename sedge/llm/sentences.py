@@ -305,7 +305,9 @@ def _fit(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
 
 def training_texts(filings: DataFrame, answers: DataFrame) -> list[str]:
     """The bounded training sample: filings with the least hash, and answers with the least hash of each language."""
-    long = filings.where("parsed_text is not null").select("parsed_text").distinct().orderBy(F.xxhash64("parsed_text"), "parsed_text").limit(TRAIN_FILINGS)
+    hashed = filings.where("parsed_text is not null").select("parsed_text", F.xxhash64("parsed_text").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(TRAIN_FILINGS).agg(F.max("h")).first()[0]  # hashes alone, so that no task sends texts it need not
+    long = hashed.where(F.col("h") <= last).select("parsed_text").distinct() if last is not None else hashed.select("parsed_text").where("false")
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     lang = F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2)).alias("lang")
     short = answers.where("text is not null").select("text", lang).distinct().withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_ANSWERS_PER_LANG)
