@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedge.llm.spans import windows
 from sedge.session import slices, spread
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -45,13 +46,8 @@ def _codes(joined: str) -> np.ndarray:
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """Fingerprint of every run of ``q`` characters."""
-    n = len(codes) - q + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
+    out = windows(codes + np.uint64(1), q, _B)
     with np.errstate(over="ignore"):
-        for k in range(q):
-            out = out * _B + codes[k : k + n] + np.uint64(1)
         out ^= out >> np.uint64(31)
         out *= _B
     return out
@@ -188,15 +184,14 @@ def leaked_items(
             kept["p"] = Passages(index.value, min_tokens, edits)
         p: Passages = kept["p"]
         for pdf in slices(batches):
-            split = [tokens(t) for t in pdf["text"]]
-            joined = [" ".join(t) for t in split]
+            joined = [" ".join(TOKEN.findall(t)).lower() for t in pdf["text"]]
             found: dict[tuple[int, int], tuple] = {}
             for t, o, low, first, last in zip(*(x.tolist() for x in p.candidates(joined))):
                 score, begin, end = p.aligned(_codes(joined[t]), o, low, first, last)
                 if score >= p.bound[o] and score > found.get((t, o), (0,))[0]:
                     found[t, o] = (score, begin, end, 0)
             for (t, o), (score, begin, end, _) in list(found.items()):
-                found[t, o] = (score, begin, end, p.longest_run(split[t], o))
+                found[t, o] = (score, begin, end, p.longest_run(joined[t].split(" "), o))
             ids = pdf["doc"].to_numpy()
             yield pd.DataFrame(
                 [(ids[t], p.ids[o], *v) for (t, o), v in found.items()], columns=["doc", "item_id", "score", "begin", "end", "run"]

@@ -57,7 +57,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(distinct, categorize=False)[codes], starts
 
 
-def _windows(h: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
+def windows(h: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Polynomial fingerprints of all runs of ``length`` hashes, by doubling."""
     out, done, power, size, scale = None, 0, h, 1, base
     n = len(h) - length + 1
@@ -96,7 +96,7 @@ def _suffixes(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray,
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), h, starts
     prefix = min(PREFIX, min_words)
-    short = _least(_mixed(_windows(h, prefix, _B1)), min_words - prefix + 1)
+    short = _least(_mixed(windows(h, prefix, _B1)), min_words - prefix + 1)
     lengths = np.diff(starts)
     text = np.repeat(np.arange(len(texts)), lengths)[:n]
     first = np.arange(n) - starts[text]
@@ -128,7 +128,7 @@ def _deep_prefixes(min_words: int):
                 at = slice(*np.searchsorted(text, [k, k + 1]))
                 keep[at] = np.isin(short[at].view(np.int64), parts[k])
             at = starts[text[keep]] + first[keep]
-            one, two = _windows(h, min_words, _B1), _windows(_mixed(h), min_words, _B2)
+            one, two = windows(h, min_words, _B1), windows(_mixed(h), min_words, _B2)
             yield pd.DataFrame(
                 {"doc": pdf["doc"].to_numpy()[text[keep]], "first": first[keep].astype(np.int32), "k1": one[at].view(np.int64), "k2": two[at].view(np.int64)}
             )

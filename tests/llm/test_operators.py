@@ -287,7 +287,7 @@ def test_spans_match_brute_force(spark, n):
 def test_window_fingerprints():
     h = np.arange(1, 40, dtype=np.uint64)
     for length in (1, 2, 7, 10, 39, 40):
-        got = spans._windows(h, length, np.uint64(31))
+        got = spans.windows(h, length, np.uint64(31))
         want = [sum(int(h[i + j]) * 31 ** (length - 1 - j) for j in range(length)) % 2**64 for i in range(len(h) - length + 1)]
         assert [int(x) for x in got] == want
         assert spans._least(h, length).tolist() == [min(h[i : i + length]) for i in range(len(h) - length + 1)]
