@@ -186,10 +186,16 @@ def leaked_items(
         for pdf in slices(batches):
             joined = [" ".join(TOKEN.findall(t)).lower() for t in pdf["text"]]
             found: dict[tuple[int, int], tuple] = {}
-            for t, o, low, first, last in zip(*(x.tolist() for x in p.candidates(joined))):
+            done: set[tuple] = set()
+            for t, o, low, first, last in sorted(zip(*(x.tolist() for x in p.candidates(joined)))):
+                band = (low + p.width // 4) // (p.width // 2)  # a match verified in a band need not be verified in the one that overlaps it by half
+                if {(t, o, band - 1, first // 64), (t, o, band, first // 64)} & done:
+                    continue
                 score, begin, end = p.aligned(_codes(joined[t]), o, low, first, last)
-                if score >= p.bound[o] and score > found.get((t, o), (0,))[0]:
-                    found[t, o] = (score, begin, end, 0)
+                if score >= p.bound[o]:
+                    done.add((t, o, band, first // 64))
+                    if score > found.get((t, o), (0,))[0]:
+                        found[t, o] = (score, begin, end, 0)
             for (t, o), (score, begin, end, _) in list(found.items()):
                 found[t, o] = (score, begin, end, p.longest_run(joined[t].split(" "), o))
             ids = pdf["doc"].to_numpy()
