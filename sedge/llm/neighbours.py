@@ -10,8 +10,9 @@ other by true distance.  After every few trees a stopping test is made for each
 distance D of its k-th neighbour so far (or the distance at the wanted least similarity, if that is
 less) and from its distances to the faces of the leaves it was searched in, the chi-square
 distribution gives the chance that a vector within D was in none of these leaves.  A vector whose
-chance is at most ``miss`` stops; it stays a candidate for the others.  All stop when the mean
-chance over all vectors is at most ``miss``.
+chance is at most ``miss`` stops; it stays a candidate for the others.  Trees are grown, however many it
+takes, until so few vectors are open that comparing them with all others costs no more than a tree;
+these last ones, the hardest, are searched exactly.
 
 Equal vectors always share all leaves, so copies are taken out first: one representative of each
 group is indexed, and the copies get theirs from it.
@@ -32,8 +33,8 @@ from sedge.session import cut, drop, spread
 
 #: About so many vectors, of least hash, give the split values.
 SAMPLE = 20_000
-#: Wanted vectors a leaf, trees a round, and most trees.
-LEAF, ROUND, TREES = 4096, 4, 16
+#: Wanted vectors a leaf, and trees a round.
+LEAF, ROUND = 4096, 4
 _SCALE = 32767.0
 
 
@@ -155,6 +156,34 @@ def _missed(shared, floor_d: float, miss: float):
     return run
 
 
+def _compared(shared, k: int, floor: float | None):
+    """The best ``k`` of every shared vector within each batch of all vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, codes = shared.value
+        q = _unit(codes)
+        for pdf in batches:
+            ids, x = pdf["id"].to_numpy(), _unit(pdf["code"])
+            for start in range(0, len(q), 512):
+                s = q[start : start + 512] @ x.T
+                s[asked[start : start + 512, None] == ids] = -2
+                if floor is not None:
+                    r, c = np.nonzero(s >= floor)
+                else:
+                    keep = min(k, len(x))
+                    c = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
+                    r = np.repeat(np.arange(len(s)), keep)
+                    r, c = r[s[r, c] > -2], c[s[r, c] > -2]
+                v = s[r, c]
+                order = np.lexsort((-v, r))
+                r, c, v = r[order], c[order], v[order]
+                first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(s)))])[:-1]
+                top = np.arange(len(r)) - first[r] < k
+                yield pd.DataFrame({"id": asked[start + r[top]], "other": ids[c[top]], "sim": v[top]})
+
+    return run
+
+
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best of each id; the aggregate keeps at most one row per pair."""
     distinct = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
@@ -162,7 +191,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "sim")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.05, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.05, leaf: int = LEAF) -> DataFrame:
     """(id_a, id_b, cosine): up to ``k`` most similar other ids of every id, of cosine ``min_sim`` or more if that is given.
 
     All vectors must have one length.  Ids with null, empty, all-zero or non-finite vectors take no part; repeated
@@ -186,15 +215,15 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
         floor_d = float(np.sqrt(2 - 2 * min_sim)) if min_sim is not None else 9.0
         state = base.withColumn("chance", F.lit(0.0)).withColumn("open", F.lit(True))
         done = 0
-        while done < trees:
-            shared = spark.sparkContext.broadcast([Tree(points, depth, 100 + done + t) for t in range(min(ROUND, trees - done) if depth else 1)])
-            done += ROUND if depth else trees
+        while True:
+            shared = spark.sparkContext.broadcast([Tree(points, depth, 100 + done + t) for t in range(ROUND if depth else 1)])
+            done += ROUND
             rows = state.select("id", "code", "open").mapInPandas(_placed(shared), "id long, code binary, open boolean, tree int, leaf long")
             new = rows.groupBy("tree", "leaf").applyInPandas(_search(k, min_sim), "id long, other long, sim float")
             older, found = found, cut(_best(new if found is None else found.unionByName(new), k))
             if older is not None:
                 drop(older)
-            if done >= trees:
+            if not depth:  # all were in one leaf
                 break
             kth = found.groupBy("id").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")).select("id", F.when(F.col("n") >= k, F.col("sim")).otherwise(-1.0).alias("kth"))
             asked = state.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
@@ -203,9 +232,14 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
             older, state = state, cut(tested.unionByName(held))
             if hasattr(older, "_sedge_path"):
                 drop(older)
-            expected = state.agg(F.avg(F.exp("chance"))).first()[0]
-            if expected <= miss or state.where("open").isEmpty():
+            if state.where("open").count() <= leaf:
                 break
+        last = state.where("open").select("id", "code").toPandas() if depth else []
+        if len(last):
+            shared = spark.sparkContext.broadcast((last["id"].to_numpy(), last["code"]))
+            new = spread(base).mapInPandas(_compared(shared, k, min_sim), "id long, other long, sim float")
+            older, found = found, cut(_best(found.unionByName(new), k))
+            drop(older)
     return _named(packed, groups, found, k)
 
 

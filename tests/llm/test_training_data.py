@@ -45,6 +45,18 @@ def test_nearest_small_leaves_keep_recall(spark):
     assert len(want & set(zip(got.id_a, got.id_b))) / len(want) > 0.9
 
 
+def test_nearest_searches_until_no_vector_is_open(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((1500, 32)), 4, axis=0) + 0.42 * rng.standard_normal((6000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<float>")
+    got = neighbours.nearest(df, "id", "vec", 3, 0.8, leaf=16).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, j) for i in range(6000) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.8}
+    assert len(want & set(zip(got.id_a, got.id_b))) / len(want) > 0.95
+
+
 def test_nearest_copies_and_bad_vectors(spark):
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.01]), ("z", [0.0, 0.0]), ("n", None), ("e", [float("nan"), 1.0]), ("a", [1.0, 0.0]), (None, [1.0, 1.0]), ("h", [1.0, None])]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
