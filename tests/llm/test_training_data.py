@@ -141,6 +141,14 @@ def test_names(spark):
     assert names.linked_names(nodes.where("false"), entries.where("false")).count() == 0
 
 
+def test_a_proper_name_beside_many_tokens_decides(spark):
+    firms = ["Vogekudux Energy Systems", "Vogekudux Capital Partners LLC", "Capital Partners Vogekudux", "Energy Systems, Vogekudux Inc."]
+    more = [f"{b} {s}" for b in ("Alphatron", "Betamixor", "Gammavent", "Deltapolis", "Epsilorta", "Zetaquorn") for s in ("Energy Systems", "Capital Partners")]
+    nodes = spark.createDataFrame([(k, "Organization", n) for k, n in enumerate(firms + more)], "node_id long, label string, name string")
+    entries = spark.createDataFrame([], "entry_id long, name string")
+    assert {(r.id_a, r.id_b) for r in names.name_pairs(names.linked_names(nodes, entries)).collect()} == {(0, 3), (1, 2)}
+
+
 # --- problem 5
 def _answers(n=240):
     rng = random.Random(3)
