@@ -28,9 +28,16 @@ def acronyms(spark, d):
 
 @book.query(r"select node_id, label || ':' || replace(replace(replace(trim(regexp_replace(lower(name), '[ \t\r\n]+', ' ', 'g')), '%', '%25'), ':', '%3A'), '|', '%7C') as node_key from resolve_nodes where regexp_full_match(name, '[ -~]*')")
 def node_keys(spark, d):
+    """Of the printable ASCII names only, as SQL has neither compatibility forms nor case folding; ``node_keys_all`` has every row."""
     return table(spark, d, "resolve_nodes").where(F.col("name").rlike("^[ -~]*$")).select("node_id", T.node_key(F.col("label"), T.norm_ascii(F.col("name"))).alias("node_key"))
 
 
+@book.query()
+def node_keys_all(spark, d):
+    """The key of every named node, in any script."""
+    return table(spark, d, "resolve_nodes").where("name is not null").select("node_id", T.node_key(F.col("label"), T.norm(F.col("name"))).alias("node_key"))
+
+
 @book.query(f"select distinct answer_id, array_to_string(list_sort({_IDS}), ',') as ids, len({_IDS}) as n from answers")
 def cited_chunks(spark, d):
     ids = T.cited_ids(F.col("text"))
@@ -65,9 +72,16 @@ def snippets(spark, d):
 
 @book.query(r"select distinct trim(regexp_replace(lower(question), '[ \t\r\n]+', ' ', 'g')) as question from answers where regexp_full_match(question, '[ -~]*')")
 def question_keys(spark, d):
+    """Of the printable ASCII questions only, as SQL has neither compatibility forms nor case folding; ``question_keys_all`` has every row."""
     return table(spark, d, "answers").where(F.col("question").rlike("^[ -~]*$")).select(T.question_key(F.col("question")).alias("question")).distinct()
 
 
+@book.query()
+def question_keys_all(spark, d):
+    """Every distinct question for comparison, in any language."""
+    return table(spark, d, "answers").where("question is not null").select("question").distinct().select(T.norm(F.col("question")).alias("question")).distinct()
+
+
 @book.query("select node_id, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as html from resolve_nodes")
 def escaped_names(spark, d):
     return table(spark, d, "resolve_nodes").select("node_id", T.escape_html(F.col("name")).alias("html"))

@@ -20,6 +20,7 @@ from sedge.operators import store as S
 from sedge.operators import vectors as V
 from sedge.operators.components import components
 from sedge.operators.skew import heavy_keys, salted_join
+from sedge.plans import texts as P
 from sedge.sources import cache as K
 from sedge.sources import files as FI
 from sedge.streaming import log as L
@@ -123,6 +124,14 @@ def test_text_functions(spark):
     assert T.changed_number("cost $1,000.50 now") == "cost $1,500.75 now" and T.changed_number("none") is None
 
 
+def test_keys_of_all_rows(spark, tmp_path):
+    texts = ["Ｇroß  X:Y", "在庫は？", "Zürich AG", "plain Name", None]
+    spark.createDataFrame([(k, "Organization", t) for k, t in enumerate(texts)], "node_id long, label string, name string").write.parquet(str(tmp_path / "resolve_nodes.parquet"))
+    spark.createDataFrame([(t,) for t in texts + ["PLAIN  name"]], "question string").write.parquet(str(tmp_path / "answers.parquet"))
+    assert rows(P.node_keys_all(spark, str(tmp_path))) == [(0, "Organization:gross x%3Ay"), (1, "Organization:在庫は?"), (2, "Organization:zürich ag"), (3, "Organization:plain name")]
+    assert rows(P.question_keys_all(spark, str(tmp_path))) == sorted([("gross x:y",), ("在庫は?",), ("zürich ag",), ("plain name",)], key=str)
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
