@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.text import acronym, match_key
+from sedge.functions.text import acronym, match_key, token_set_ratio
+from sedge.operators.vectors import top_k
+from sedge.session import cut
+
+#: Keys a block of the fuzzy comparison.
+BLOCK = 1000
 
 # fixed values: how much one printed unit is
 UNITS = {"usd": "1", "thousand": "1000", "million": "1000000", "billion": "1000000000", "percent": "0.01", "ratio": "1"}
@@ -31,11 +40,53 @@ def agree(a: Column, unit_a: Column, b: Column, unit_b: Column) -> Column:
     return F.abs(x - y) * 2 <= step
 
 
-def candidate_pairs(nodes: DataFrame, rare: int = 3) -> DataFrame:
+def _alike(cutoff: float):
+    """Pairs of two blocks of keys with a token set ratio of ``cutoff`` or more.
+
+    The ratio is taken only where one of its three terms can reach the cutoff: the length of the common words tells it for two of them,
+    the letters in common bound the third.
+    """
+    letters = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf.loc[pdf["block"] == b, "k"].to_numpy() for b in key)
+        both = [*one, *two]
+        words = [sorted(set(k.split())) for k in both]
+        vocabulary = {w: n for n, w in enumerate({w for ws in words for w in ws})}
+        bag, has = np.zeros((len(both), len(letters)), dtype=np.int16), np.zeros((len(both), len(vocabulary)), dtype=np.float32)
+        for n, ws in enumerate(words):
+            has[n, [vocabulary[w] for w in ws]] = 1
+            for c in " ".join(ws):
+                bag[n, letters[c]] += 1
+        size, m = bag.sum(axis=1).astype(np.float32), len(one)
+        weight = np.array([len(w) + 1 for w in vocabulary], dtype=np.float32)
+        common = np.maximum((has[:m] * weight) @ has[m:].T - 1, 0)  # characters of the common words
+        shared = np.zeros(common.shape, dtype=np.int16)
+        for c in range(len(letters)):
+            shared += np.minimum(bag[:m, None, c], bag[None, m:, c])
+        x, y, least = size[:m, None], size[None, m:], cutoff / 100 - 1e-6
+        may = (2 * shared >= least * (x + y)) | (common > 0) & (2 * common >= least * (common + np.minimum(x, y)))
+        pairs = [(one[i], two[j]) for i, j in zip(*np.nonzero(may)) if (key[0] < key[1] or one[i] < two[j]) and token_set_ratio(one[i], two[j]) >= cutoff]
+        return pd.DataFrame([sorted(p) for p in pairs], columns=["key_a", "key_b"]).astype("object")
+
+    return run
+
+
+def fuzzy_pairs(keys: DataFrame, cutoff: float) -> DataFrame:
+    """(key_a, key_b), a < b: all pairs of the distinct match keys ``k`` with a token set ratio of ``cutoff`` or more, block by block."""
+    blocks = ceil(max(keys.count(), 1) / BLOCK)
+    own = keys.select("k", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    to = own.select("k", "block", other.alias("other")).select("k", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return to.repartition(max(1, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi").applyInPandas(_alike(cutoff), "key_a string, key_b string")
+
+
+def candidate_pairs(nodes: DataFrame, rare: int = 3, fuzzy: float | None = None, vectors: DataFrame | None = None, top: int = 3) -> DataFrame:
     """(key_a, key_b, rules), a < b: pairs of distinct match keys that share a rare word or of which one is the other's acronym.
 
     nodes: name.  Equal keys are one class already (rule ``equal``), so no pairs are formed within it.  A word is rare when at most ``rare`` keys have it: the
-    pairs of a word are bounded.  ``rules`` are sorted.
+    pairs of a word are bounded.  With ``fuzzy`` also all pairs of that token set ratio or more (rule ``fuzzy``), with ``vectors`` (k, vec; one a match key) those
+    of which one is among the ``top`` nearest of the other (rule ``embedding``).  ``rules`` are sorted.
     """
     keys = nodes.select(match_key(F.col("name")).alias("k")).where("k <> ''").distinct()
     words = keys.select("k", F.explode(F.array_distinct(F.split("k", " "))).alias("word")).where("word <> ''")
@@ -45,7 +96,14 @@ def candidate_pairs(nodes: DataFrame, rare: int = 3) -> DataFrame:
     long = keys.where("k like '% %'").select(F.col("k").alias("long"), acronym(F.col("k")).alias("short"))
     short = keys.where("k not like '% %'").select(F.col("k").alias("short"))
     named = long.join(short, "short").select(F.least("long", "short").alias("key_a"), F.greatest("long", "short").alias("key_b"), F.lit("acronym").alias("rule"))
-    return shared.unionByName(named).groupBy("key_a", "key_b").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    pairs = shared.unionByName(named)
+    if fuzzy is not None:
+        pairs = pairs.unionByName(fuzzy_pairs(cut(keys), fuzzy).withColumn("rule", F.lit("fuzzy")))
+    if vectors is not None:
+        held = vectors.join(keys, "k", "left_semi")
+        near = top_k(held, held, top, "k", "vec").where("query <> k").select(F.least("query", "k").alias("key_a"), F.greatest("query", "k").alias("key_b"), F.lit("embedding").alias("rule"))
+        pairs = pairs.unionByName(near)
+    return pairs.groupBy("key_a", "key_b").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
 
 def title_key(c: Column) -> Column:

@@ -28,6 +28,12 @@ def candidate_pairs(spark, d):
     return K.candidate_pairs(table(spark, d, "resolve_nodes").where("label = 'Organization'"))
 
 
+@book.query()
+def candidate_pairs_all(spark, d):
+    """Also the pairs of fuzzy score 85 or more; no table holds vectors of names, so the embedding rule is not applied here."""
+    return K.candidate_pairs(table(spark, d, "resolve_nodes").where("label = 'Organization'"), fuzzy=85)
+
+
 _PRINTED = "select l_orderkey, l_linenumber, l_partkey, printf('%.2f', l_extendedprice) as a, printf('%.1f', round(l_extendedprice / 1000 + l_tax, 1)) as b from lineitem"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedge.book import Book
 from sedge.functions import text as T
 from sedge.operators.store import chunk_texts
-from sedge.session import table
+from sedge.session import spread, table
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -97,11 +97,12 @@ def question_ngrams(spark, d):
 
 @book.query()
 def name_ratios(spark, d):
-    """Fuzzy score of every named node against the filer entries that share its first letters (the block of the comparison)."""
+    """Fuzzy score of every named node against every filer entry; equal keys are scored once."""
     n = table(spark, d, "resolve_nodes").where("label = 'Organization'").select("node_id", T.match_key(F.col("name")).alias("a"))
     e = table(spark, d, "filer_entries").select("entry_id", T.match_key(F.col("name")).alias("b"))
-    pairs = n.withColumn("block", F.substring("a", 1, 3)).join(F.broadcast(e.withColumn("block", F.substring("b", 1, 3))), "block")
-    return pairs.select("node_id", "entry_id", F.round(T.token_set_ratio_of("a", "b"), 6).alias("score")).where("score >= 85")
+    pairs = spread(n.select("a").where("a is not null").distinct()).crossJoin(F.broadcast(e.select("b").distinct()))
+    scores = pairs.withColumn("score", F.round(T.token_set_ratio_of("a", "b"), 6)).where("score >= 85")
+    return n.join(scores, "a").join(F.broadcast(e), "b").select("node_id", "entry_id", "score")
 
 
 @book.query()

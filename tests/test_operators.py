@@ -12,6 +12,7 @@ from sedge.operators import communities as C
 from sedge.operators import extraction as X
 from sedge.operators import graph as G
 from sedge.operators import html as H
+from sedge.operators import linking as LK
 from sedge.operators import metrics as M
 from sedge.operators import orphans as O
 from sedge.operators import questions as Q
@@ -132,6 +133,27 @@ def test_keys_of_all_rows(spark, tmp_path):
     assert rows(P.question_keys_all(spark, str(tmp_path))) == sorted([("gross x:y",), ("在庫は?",), ("zürich ag",), ("plain name",)], key=str)
 
 
+def test_fuzzy_names_in_any_order(spark, tmp_path):
+    spark.createDataFrame([(1, "Organization", "Data Services Mugirosuck"), (2, "Organization", "Mugirosuck Data Services Inc."), (3, "Organization", "Other Firm"), (4, "Organization", None)], "node_id long, label string, name string").write.parquet(str(tmp_path / "resolve_nodes.parquet"))
+    spark.createDataFrame([(9, "Mugirosuck Data Services"), (8, "Kupifizarn Test")], "entry_id long, name string").write.parquet(str(tmp_path / "filer_entries.parquet"))
+    assert rows(P.name_ratios(spark, str(tmp_path))) == [(1, 9, 100.0), (2, 9, 100.0)]
+
+
+def test_candidate_pairs_match_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["capital", "partners", "freight", "lines", "data", "services", "vogekudux", "vogekudx", "tamusuroth", "tamusurth", "mugirosuck", "kupifizarn", "of", "3m"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(160)]
+    keys = sorted({r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.match_key(F.col("n"))).collect()})
+    monkeypatch.setattr(LK, "BLOCK", 40)
+    nodes = spark.createDataFrame([(n,) for n in names + [None, ""]], "name string")
+    got = {(r.key_a, r.key_b) for r in LK.candidate_pairs(nodes, fuzzy=85).collect() if "fuzzy" in r.rules}
+    assert got == {p for p in itertools.combinations(keys, 2) if T.token_set_ratio(*p) >= 85} and got
+    two = spark.createDataFrame([("alpha one",), ("beta two",), ("gamma six",)], "name string")
+    vectors = spark.createDataFrame([("alpha one", [1.0, 0.0]), ("beta two", [0.9, 0.1]), ("gamma six", [0.0, 1.0])], "k string, vec array<double>")
+    assert rows(LK.candidate_pairs(two, vectors=vectors, top=1)) == [("alpha one", "beta two", "embedding"), ("beta two", "gamma six", "embedding")]
+    assert LK.candidate_pairs(two.where("false"), fuzzy=85).count() == 0
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
