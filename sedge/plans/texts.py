@@ -108,9 +108,10 @@ def name_ratios(spark, d):
 @book.query()
 def evidence_spans(spark, d):
     """Offsets of every evidence span in the text of its chunk, found verbatim but for quotes, dashes and blanks."""
-    texts = chunk_texts(table(spark, d, "chunks"), table(spark, d, "filings")).select("chunk_id", "text")
-    e = table(spark, d, "evidence").where("span is not null").select("evidence_id", "chunk_id", "span").distinct()
-    return e.join(texts, "chunk_id").withColumn("at", T.find_span_in("span", "text")).select("evidence_id", "at.start", "at.end")
+    own = F.btrim("chunk_id", F.lit(" \t")).alias("chunk_id")
+    texts = chunk_texts(table(spark, d, "chunks"), table(spark, d, "filings")).select(own, "text")
+    e = table(spark, d, "evidence").where("span is not null").select("evidence_id", own, "span").distinct()
+    return e.join(texts, "chunk_id").withColumn("at", T.find_span_in("span", "text")).select("evidence_id", "at.start", "at.end").distinct()
 
 
 @book.query("select (answer_id) as answer_id, count(*) as kept, count(*) filter (where len(s.citations) > 0) as cited, count(*) filter (where len(s.citations) > 0 and len(list_filter(s.citations, lambda c: not regexp_full_match(c, '[0-9]{10}-[0-9]{2}-[0-9]{6}:[0-9]{4,}'))) = 0) as sound from (select distinct answer_id, unnest(kept) as s, generate_subscripts(kept, 1) as k from (select distinct answer_id, kept from answers where kept is not null)) group by 1")

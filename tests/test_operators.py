@@ -139,6 +139,13 @@ def test_fuzzy_names_in_any_order(spark, tmp_path):
     assert rows(P.name_ratios(spark, str(tmp_path))) == [(1, 9, 100.0), (2, 9, 100.0)]
 
 
+def test_evidence_of_padded_chunk_ids(spark, tmp_path):
+    spark.createDataFrame([("a", "see the big one", D(2024, 1, 1))], "accession_no string, parsed_text string, loaded_at timestamp").write.parquet(str(tmp_path / "filings.parquet"))
+    spark.createDataFrame([("a:0", "a", 4, 15, 0, D(2024, 1, 1))], "chunk_id string, accession_no string, char_start int, char_end int, ordinal int, chunked_at timestamp").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(1, "a:0", "big"), (2, " a:0\t", "one"), (3, "b", "x"), (4, "a:0", None)], "evidence_id long, chunk_id string, span string").write.parquet(str(tmp_path / "evidence.parquet"))
+    assert rows(P.evidence_spans(spark, str(tmp_path))) == [(1, 4, 7), (2, 8, 11)]
+
+
 def test_candidate_pairs_match_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     words = ["capital", "partners", "freight", "lines", "data", "services", "vogekudux", "vogekudx", "tamusuroth", "tamusurth", "mugirosuck", "kupifizarn", "of", "3m"]
