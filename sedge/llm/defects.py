@@ -46,6 +46,7 @@ _CITED = re.compile(r"\s*\[[^\[\]\n]*\]")
 _NUM = re.compile(r"\d+")
 _ASK = re.compile(r"\b(?:in|auf|en|in)\s+(" + "|".join(ASKED) + r")\b\W*\Z", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_PART = re.compile(r"[^\W_]{1,15}")  # of scripts that set no blanks
 _UNIT = re.compile(r"[^\W_\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF]+|[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF]")
 
 
@@ -161,6 +162,24 @@ def reply_features(reply: str) -> list[str]:
     return ["b", f"cite{'§' in s}", f"len{min(9, len(s) // 60)}", *grams]
 
 
+def windows(unit: str, words: int = 22, chars: int = 400) -> list[str]:
+    """The unit, and if it is longer than ``reply_features`` sees, its later parts, each half over the one before."""
+    if len(unit) <= 30:
+        return [unit]
+    at = [m.span() for m in (_WORD if unit.isascii() else _PART).finditer(unit)]
+    starts, ends = [a for a, _ in at], [b for _, b in at]
+    out, k = [unit], 0
+    while k < len(ends):
+        seen = k
+        while seen < len(ends) and seen - k < words and ends[seen] - starts[k] <= chars and (unit.isascii() or ends[seen] - starts[k] <= 30 or seen == k):
+            seen += 1
+        if seen >= len(ends):
+            break
+        k += max(1, (seen - k) // 2)
+        out.append(unit[starts[k] :])
+    return out
+
+
 def blank_features(reply: str) -> list[str]:
     letters = sum(c.isalnum() for c in reply)
     return ["b", f"n{min(8, letters)}", f"full{reply.strip().lower()}" if len(reply) < 16 else "long", f"size{min(6, len(reply.strip()) // 4)}"]
@@ -190,7 +209,7 @@ class Defects:
     def wrong_language(self, question: str, lang: str | None, units: list[str]) -> bool:
         asked = _ASK.search(question or "")
         want = ASKED[asked.group(1).lower()] if asked else lang_code(lang) or (self.languages.of([question])[0] if question else None)
-        told = [u for u in units if sum(c.isalpha() for c in _CITE.sub("", u)) >= 4 and not u.startswith(("- ", "|"))]
+        told = [u for u in units if sum(c.isalpha() for c in _CITE.sub("", u)) >= 4]
         if not want or not told:
             return False
         return 2 * sum(c != want for c in self.languages.of(told)) > len(told)
@@ -207,7 +226,7 @@ class Defects:
         }
         is_ = {k: self.parts[k].score(Linear.rows(v)) > self.parts[k].threshold for k, v in x.items()}
         # a refusal may stand beside polite sentences, never beside a citation
-        own = [[r, *u[:8]] if not _CITE.search(r) and r.strip() else [] for u, r in zip(units, replies)]
+        own = [[r, *(w for x in u for w in windows(x))] if not _CITE.search(r) and r.strip() else [] for u, r in zip(units, replies)]
         scores = iter(self.parts["refusal"].score(Linear.rows([reply_features(x) for u in own for x in u])))
         is_["refusal"] = [any([next(scores) > self.parts["refusal"].threshold for _ in u]) for u in own]
         out: list[str | None] = []

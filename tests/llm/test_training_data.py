@@ -150,6 +150,31 @@ def test_a_proper_name_beside_many_tokens_decides(spark):
 
 
 # --- problem 5
+def test_refusals_and_languages_of_whole_replies(model, monkeypatch):
+    class Part:
+        threshold = 0.5
+
+        def __init__(self, feature=None):
+            self.feature = feature
+
+        def score(self, rows):
+            return np.array([float(self.feature in r) for r in rows])
+
+    class Languages:
+        def of(self, units):
+            return ["de" if "der" in u else "en" for u in units]
+
+    monkeypatch.setattr(defects.Linear, "rows", staticmethod(lambda x: x))
+    d = defects.Defects(model, Languages(), {k: Part() for k in ("empty", "question_copy", "truncated")} | {"refusal": Part("2no comment")})
+    late = " ".join(f"Sales rose in part {k}." for k in range(12)) + " We give no comment here."
+    long = "The firm sold " + "many more and " * 20 + "so no comment on this."
+    listed = "The sales were:\n\n" + "\n".join(f"- der Umsatz {k} stieg" for k in range(5))
+    asked = [("What?", "en", "x", "end_turn", t) for t in (late, long, listed, "Sales rose.")]
+    assert d.defects(pd.DataFrame(asked, columns=["question", "lang", "class_name", "stop_reason", "raw_text"])) == ["refusal", "refusal", "wrong_language", None]
+    thai = "".join(chr(0x0E01 + k % 40) for k in range(200))
+    assert all(any(thai[k : k + 3] in w[:30] for w in defects.windows(thai)) for k in range(190))
+
+
 def _answers(n=240):
     rng = random.Random(3)
     things = ["boards", "wafers", "cards", "units"]
