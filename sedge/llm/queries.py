@@ -14,7 +14,7 @@ from sedge.llm.mixing import mixture, shares, token_counts
 from sedge.llm.names import linked_names, name_pairs
 from sedge.llm.neighbours import similar_pairs
 from sedge.llm.pieces import chunk_stretches, oversized_pieces
-from sedge.llm.sentences import fitted, found_units
+from sedge.llm.sentences import fitted, found_units, sentence_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
 
@@ -32,6 +32,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_units(table(spark, sf_dir, "filings"), table(spark, sf_dir, "answers"))
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(answer_id, kept_at, sent_start, sent_end): the units of the kept texts of each answer, by their place in ``kept`` from 0."""
+    answers = table(spark, sf_dir, "answers")
+    kept = answers.where("kept is not null").select("answer_id", F.posexplode("kept").alias("kept_at", "s")).select("answer_id", "kept_at", F.col("s.text").alias("text")).distinct()
+    return sentence_units(kept, fitted(table(spark, sf_dir, "filings"), answers), ["answer_id", "kept_at"]).distinct()
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     filings = table(spark, sf_dir, "filings")
     model = fitted(filings, table(spark, sf_dir, "answers"))
@@ -95,6 +102,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_kept": p2_kept,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,

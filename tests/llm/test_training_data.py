@@ -91,6 +91,14 @@ def test_found_units_edge_cases(spark):
     assert sentences.found_units(f.where("false"), a.where("false")).count() == 0
 
 
+def test_kept_texts_are_segmented(spark):
+    from sedge.llm.queries import QUERIES
+
+    got = {(r.answer_id, r.kept_at) for r in QUERIES["p2_kept"](spark, "/root/testdata/sf0.001").collect()}
+    a = pd.read_parquet("/root/testdata/sf0.001/answers.parquet")
+    assert got == {(i, k) for i, kept in zip(a.answer_id, a.kept) if kept is not None for k, s in enumerate(kept) if s["text"] and s["text"].strip()} and got
+
+
 # --- problem 3
 def test_cuts_cover_with_exact_overlap():
     rng = random.Random(4)
