@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.text import acronym, match_key, token_set_ratio
+from sedge.functions.text import acronym, match_key, ngrams, ratio_of, token_set_ratio
 from sedge.operators.vectors import top_k
-from sedge.session import cut
+from sedge.session import cut, spread
 
 #: Keys a block of the fuzzy comparison.
 BLOCK = 1000
@@ -134,6 +134,26 @@ def choose_links(exact: DataFrame, decided: DataFrame) -> DataFrame:
     return both.groupBy("later_key").agg(F.min_by(F.struct("earlier_key", "method"), F.struct("rank", "earlier_key")).alias("x")).select("later_key", "x.earlier_key", "x.method")
 
 
+def named_in(questions: DataFrame, names: DataFrame, cutoff: float = 90) -> DataFrame:
+    """(question, key, score): names a question holds, by the best ratio of the name to a run of as many words of the question.
+
+    questions: question, text; names: key, name.  Both are compared as match keys.  A run that cannot reach ``cutoff`` by its length is not scored.
+    """
+    asked = questions.where("text is not null").select("question", match_key(F.col("text")).alias("t")).distinct()
+    known = names.select("key", match_key(F.col("name")).alias("name")).where("name <> ''").distinct().withColumn("words", F.size(F.split("name", " ")))
+    lengths = [r[0] for r in known.select("words").distinct().collect()]
+    each = [F.struct(F.lit(n).alias("words"), ngrams(F.col("t"), n).alias("runs")) for n in sorted(lengths)]
+    runs = asked.select("question", F.explode(F.array(*each)).alias("x")).select("question", "x.words", F.explode("x.runs").alias("run")).where("run <> ''") if each else None
+    if runs is None:
+        return known.select(F.lit(None).cast(dict(questions.dtypes)["question"]).alias("question"), "key", F.lit(0.0).alias("score")).where("false")
+    texts = spread(runs.select("words", "run").distinct())
+    a, b = F.length("run"), F.length("name")
+    near = texts.join(known.select("words", "name").distinct(), "words").where(200 * F.least(a, b) >= cutoff * (a + b))
+    scored = near.select("words", "run", "name", F.round(ratio_of("run", "name"), 6).alias("score")).where(F.col("score") >= cutoff)
+    hits = scored.join(runs.distinct(), ["words", "run"]).join(known.select("key", "name"), "name")
+    return hits.groupBy("question", "key").agg(F.max("score").alias("score"))
+
+
 def anchors(names: DataFrame, cosines: DataFrame, limit: int) -> DataFrame:
     """(question, key, similarity, how, place): nodes named in a question first (similarity 1), then by cosine; ties by key.
 

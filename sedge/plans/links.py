@@ -95,6 +95,14 @@ def question_anchors(spark, d):
     return K.anchors(named, top, 20).withColumn("similarity", F.round("similarity", 6))
 
 
+@book.query()
+def named_anchors(spark, d):
+    """The filers named in the questions of all answers (fuzzy ratio 90 or more); ``question_anchors`` ranks made-up scores, as its SQL has no such ratio."""
+    asked = table(spark, d, "answers").select(F.col("question").alias("question"), F.col("question").alias("text"))
+    names = table(spark, d, "resolve_nodes").where("label = 'Organization'").select("name").unionByName(table(spark, d, "filer_entries").select("name")).select(T.match_key(F.col("name")).alias("key"), "name")
+    return K.named_in(asked, names)
+
+
 _SCORE = "s as (select b.vec_id as chunk, round(list_cosine_similarity(q.embedding::double[], b.embedding::double[]), 6) as score, b.label from embeddings b, (select embedding from embeddings where vec_id = 0) q)"
 
 

@@ -146,6 +146,14 @@ def test_evidence_of_padded_chunk_ids(spark, tmp_path):
     assert rows(P.evidence_spans(spark, str(tmp_path))) == [(1, 4, 7), (2, 8, 11)]
 
 
+def test_names_in_questions(spark):
+    q = spark.createDataFrame([(1, "What did Vogekudx Capital report?"), (2, "How much does Freight Lines owe Vogekudux Capital?"), (3, None), (4, "Nothing here")], "question int, text string")
+    n = spark.createDataFrame([("v", "Vogekudux Capital, Inc."), ("f", "Freight Lines"), ("x", None)], "key string, name string")
+    got = {(r.question, r.key): round(r.score, 1) for r in LK.named_in(q, n).collect()}
+    assert got == {(1, "v"): 97.0, (2, "f"): 100.0, (2, "v"): 100.0}
+    assert LK.named_in(q, n.where("false")).count() == 0
+
+
 def test_candidate_pairs_match_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     words = ["capital", "partners", "freight", "lines", "data", "services", "vogekudux", "vogekudx", "tamusuroth", "tamusurth", "mugirosuck", "kupifizarn", "of", "3m"]
