@@ -32,12 +32,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     ``parts`` x duplicates, are copied ``salts`` times.  ``how`` is inner, left, left_semi or
     left_anti.  Null keys never match.  Both sides must share no other column name than ``key``.
     ``hot`` are the heavy keys where they are known already; without any the join is a plain one.
+    The salt is a hash of the row, so that a task that runs again salts alike (rows that are equal throughout stay together).
+    Where they are not given they are part of the plan, a broadcast of fewer than ``parts`` rows, and
+    nothing runs before the action; ``left`` is then read twice, so cut it if it is dear.
     """
-    hot = hot_keys(left, key, parts) if hot is None else hot
-    if not hot:
+    if hot is not None and not hot:
         return left.join(right, key, how)
-    keys = F.broadcast(left.sparkSession.createDataFrame([(h,) for h in hot], left.select(F.col(key).alias("__heavy")).schema))
-    spread = F.when(F.col("__heavy").isNotNull(), F.floor(F.rand(17) * salts).cast("int")).otherwise(F.lit(0))
+    if hot is None:
+        heavy = heavy_keys(left, key, parts).select(F.col(key).alias("__heavy"))
+    else:
+        heavy = left.sparkSession.createDataFrame([(h,) for h in hot], left.select(F.col(key).alias("__heavy")).schema)
+    keys = F.broadcast(heavy)
+    spread = F.when(F.col("__heavy").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     l2 = left.join(keys, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", spread).drop("__heavy")
     copies = F.when(F.col("__heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r2 = right.join(keys, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(copies)).drop("__heavy")

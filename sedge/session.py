@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,13 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again, so that later plans start from it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary one is made.  The table outlives any executor.  Unlike
+    and the master is local (tests) a temporary one is made; a cluster without it is an error, as no
+    folder of one machine would do.  The table outlives any executor.  Unlike
     ``checkpoint()`` it carries no optimizer constraints over, which pile up in iterative plans,
     and it has sizes from which joins can be planned.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -41,10 +45,19 @@ def drop(stored: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Operators of a logical plan whose result comes out of a shuffle.
+_WIDE = re.compile(r"^[\s:+|-]*(?:Aggregate|Distinct|Deduplicate|Join|Window|Sort|Repartition|RepartitionByExpression|RebalancePartitions|Intersect|Except|FlatMapGroups|FlatMapCoGroups)", re.M)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work in Python; input that has them already isn't shuffled."""
+    """``df`` over at least as many partitions as there are cores, for work in Python; a scan that has them already isn't shuffled.
+
+    Nothing is run: only of a plan without shuffles is the number of partitions asked for, as that of
+    an adaptive plan is known after its shuffles have run; any other is shuffled once more.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wide = _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()) is not None
+    return df.repartition(cores) if wide or df.rdd.getNumPartitions() < cores else df
 
 
 def slices(batches: Iterator[pd.DataFrame], column: str = "text", most: int = 8_000_000) -> Iterator[pd.DataFrame]:
