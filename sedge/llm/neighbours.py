@@ -1,21 +1,25 @@
 """Most similar vectors for every vector (problem 1).
 
-Index: low-dimensional stable (Gaussian) projections, each indexed by a kd-tree whose split values
-are medians of a bounded sample; every vector is put into one leaf of each tree.  For a pair at
-distance d each projected coordinate differs by d times a standard normal variable, so its square
-over d^2 is chi-square distributed with one degree of freedom.
-
-Search goes tree by tree, nearest region first: in a leaf all vectors are verified against each
-other by true distance.  After every few trees a stopping test is made for each vector: from the
-distance D of its k-th neighbour so far (or the distance at the wanted least similarity, if that is
-less) and from its distances to the faces of the leaves it was searched in, the chi-square
-distribution gives the chance that a vector within D was in none of these leaves.  A vector whose
-chance is at most ``miss`` stops; it stays a candidate for the others.  Trees are grown, however many it
-takes, until so few vectors are open that comparing them with all others costs no more than a tree;
-these last ones, the hardest, are searched exactly.
-
-Equal vectors always share all leaves, so copies are taken out first: one representative of each
-group is indexed, and the copies get theirs from it.
+Index: one low-dimensional stable (Gaussian) projection, indexed by a kd-tree, one coordinate a level, whose split
+values are medians of a sample; its leaves are the partitions of the search.  The difference of two
+vectors at distance d is, in each projected coordinate, d times a standard normal variable, so its
+squares over d^2 are chi-square distributed.
+
+1. Every vector goes to its own leaf, its nearest region, where all are verified against each other
+   by true distance.  That gives each vector the distance of its k-th neighbour so far.
+2. Each vector then visits further leaves, in rising projected distance, scaled by the distance D up to
+   which it still has to look (of its k-th neighbour so far, or of the wanted least similarity if
+   that is nearer).  From its distances to the faces of the tree and D, the law of the projected squares gives for
+   each leaf the chance that a neighbour at D is in it; a vector stops when the chance that such a neighbour
+   is in none of its leaves has come down to ``miss``.  It has no other end: a vector visits as many leaves
+   as its own test asks for, up to all of them.
+3. In every leaf residents and visitors are verified against each other.  Two vectors meet if their
+   leaves have one in common, so a pair is only lost if the tests of both its sides fail.
+
+New neighbours only bring D down, so a test that held still holds after the second verification.
+
+Copies of a vector are taken out first: one representative of each group is indexed, and the copies get
+theirs from it.  Near copies, however many, differ in their projections, and medians split them.
 """
 
 from __future__ import annotations
@@ -31,11 +35,15 @@ from pyspark.sql import functions as F
 from sedge.operators.skew import salted_join
 from sedge.session import cut, drop, spread
 
-#: About so many vectors, of least hash, give the split values.
-SAMPLE = 20_000
-#: Wanted vectors a leaf, and trees a round.
-LEAF, ROUND = 4096, 4
+#: Vectors a leaf, if there are many; fewer where else there were less than LEAVES a core, but not less than LEAST.
+LEAF, LEAVES, LEAST = 4096, 4, 64
+#: The medians are of about so many vectors, of least hash, and of so many a leaf.
+SAMPLE, SAMPLE_LEAF = 20_000, 16
+#: Up to so many vectors that are copies of another one are named in a broadcast; beyond it they are taken out by a join.
+MOST_COPIES = 2_000_000
 _SCALE = 32767.0
+#: Rows of one block of similarities.
+BLOCK = 512
 
 
 def clean_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -60,209 +68,210 @@ def _unit(codes: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-class Tree:
-    """A kd-tree over the coordinates of one stable projection: one coordinate a level, split at the median of the sample below each node."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
-        self.project = np.random.default_rng(seed).standard_normal((sample.shape[1], max(depth, 1))).astype(np.float32)
-        y = sample @ self.project
-        self.depth, self.splits = depth, []
-        node = np.zeros(len(y), dtype=np.int64)
-        for level in range(depth):
-            medians = np.zeros(1 << level, dtype=np.float32)
-            for k in range(1 << level):
-                below = y[node == k, level]
-                medians[k] = np.median(below) if len(below) else 0.0
-            self.splits.append(medians)
-            node = node * 2 + (y[:, level] > medians[node])
-
-    def leaf(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The leaf of each vector and its distances to the faces that bound the leaf, one a level."""
-        y = x @ self.project
-        node, faces = np.zeros(len(x), dtype=np.int64), np.zeros((len(x), self.depth), dtype=np.float32)
-        for level in range(self.depth):
-            gap = y[:, level] - self.splits[level][node]
-            faces[:, level] = np.abs(gap)
-            node = node * 2 + (gap > 0)
-        return node, faces
-
-
-def _half_chi(x: np.ndarray) -> np.ndarray:
-    """P(chi-square with 1 degree of freedom > x^2) / 2: the chance that a coordinate crosses a face x standard deviations away."""
-    t = 1 / (1 + 0.2316419 * x)
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function (a polynomial of five terms, error below 1e-7)."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * poly
+    tail = np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * poly
+    return np.where(z > 0, 1 - tail, tail)
 
 
-def _search(k: int, floor: float | None):
-    """Verify all vectors of a leaf against each other; the best ``k`` of every open one."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _unit(pdf["code"]), pdf["id"].to_numpy()
-        asking = np.flatnonzero(pdf["open"].to_numpy())
-        out_a, out_b, out_s = [], [], []
-        for start in range(0, len(asking), 1024):
-            rows = asking[start : start + 1024]
-            s = x[rows] @ x.T
-            s[np.arange(len(rows)), rows] = -2
-            if floor is not None:
-                r, c = np.nonzero(s >= floor)
-            else:
-                keep = min(k, len(x) - 1)
-                c = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel() if keep > 0 else np.zeros(0, dtype=np.int64)
-                r = np.repeat(np.arange(len(rows)), keep)
-            v = s[r, c]
-            order = np.lexsort((-v, r))
-            r, c, v = r[order], c[order], v[order]
-            first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(rows)))])[:-1]
-            top = np.arange(len(r)) - first[r] < k
-            near, far, v = ids[rows[r[top]]], ids[c[top]], v[top]
-            out_a.append(near), out_b.append(far), out_s.append(v)
-            if floor is not None:  # a search from one side finds the pair for both
-                out_a.append(far), out_b.append(near), out_s.append(v)
-        if not out_a:
-            return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float32"})
-        return pd.DataFrame({"id": np.concatenate(out_a), "other": np.concatenate(out_b), "sim": np.concatenate(out_s)})
-
-    return run
+class Tree:
+    """A kd-tree over the coordinates of a stable projection: one coordinate a level, split at the median of the sample below each node."""
 
+    def __init__(self, project: np.ndarray, sample: np.ndarray):
+        self.project, self.depth = project, project.shape[1]
+        self.splits: list[np.ndarray] = []
+        node = np.zeros(len(sample), dtype=np.int64)
+        for level in range(self.depth):
+            medians = np.full(1 << level, np.median(sample[:, level]) if len(sample) else 0.0, dtype=np.float32)
+            order = np.argsort(node, kind="stable")
+            bounds = np.searchsorted(node[order], np.arange((1 << level) + 1))
+            for k in range(1 << level):
+                below = sample[order[bounds[k] : bounds[k + 1]], level]
+                if len(below):
+                    medians[k] = np.median(below)
+            self.splits.append(medians)
+            node = node * 2 + (sample[:, level] > medians[node])
 
-def _placed(shared):
-    """Rows (id, code, open, tree, leaf): each vector once a tree."""
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        y, node = x @ self.project, np.zeros(len(x), dtype=np.int64)
+        for level in range(self.depth):
+            node = node * 2 + (y[:, level] > self.splits[level][node])
+        return node
+
+    def visits(self, x: np.ndarray, d: np.ndarray, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the leaves each vector has to visit beside its own, until the chance to miss a neighbour at distance ``d`` is at most ``miss``."""
+        y, rows, out = x @ self.project, np.arange(len(x)), []
+        least = miss / 64
+        while len(rows):
+            row, node, chance = rows, np.zeros(len(rows), dtype=np.int64), np.ones(len(rows))
+            for level in range(self.depth):
+                above = normal_cdf((y[row, level] - self.splits[level][node]) / d[row])
+                row, node = np.concatenate([row, row]), np.concatenate([node * 2, node * 2 + 1])
+                chance = np.concatenate([chance * (1 - above), chance * above])
+                kept = chance >= least
+                row, node, chance = row[kept], node[kept], chance[kept]
+            order = np.lexsort((-chance, row))
+            row, node, chance = row[order], node[order], chance[order]
+            total = np.bincount(row, chance, len(x))
+            running = np.cumsum(chance)
+            first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=bool)
+            base = np.repeat(running[first] - chance[first], np.diff(np.append(np.flatnonzero(first), len(row))))
+            short = rows[(total[rows] < 1 - miss) & (least > 1e-12)]  # too much was left out as unlikely: look again, closer
+            wanted = (running - chance - base < 1 - miss) & ~np.isin(row, short)
+            out.append((row[wanted], node[wanted]))
+            rows, least = short, least / 16
+        row, node = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 2
+        other = node != self.leaf(x)[row]
+        return row[other], node[other]
+
+
+def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` greatest of each ``a``, ties to the smaller ``b``."""
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return a[place < k], b[place < k], s[place < k]
+
+
+def verified(x: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, cosine): the ``k`` most similar others of every row, of cosine ``floor`` or more; every two rows are compared once."""
+    held = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+    pending = 0
+    for start in range(0, len(x), BLOCK):
+        s = x[start : start + BLOCK] @ x[start:].T
+        s[np.tri(len(s), s.shape[1], dtype=bool)] = -2  # itself, and what is compared in the other direction
+        if floor is not None:
+            r, c = np.nonzero(s >= floor)
+        else:
+            keep = min(k, s.shape[1])
+            r1, c1 = np.repeat(np.arange(len(s)), keep), np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
+            keep = min(k, len(s))
+            r2, c2 = np.argpartition(-s, keep - 1, axis=0)[:keep].ravel(), np.tile(np.arange(s.shape[1]), keep)
+            code = np.unique(np.concatenate([r1 * s.shape[1] + c1, r2 * s.shape[1] + c2]))
+            r, c = code // s.shape[1], code % s.shape[1]
+            r, c = r[s[r, c] > -2], c[s[r, c] > -2]
+        v = s[r, c]
+        held.append((np.concatenate([r, c]) + start, np.concatenate([c, r]) + start, np.concatenate([v, v])))
+        pending += len(v)
+        if pending > 1_000_000:
+            held, pending = [_top(*(np.concatenate(z) for z in zip(*held)), k)], 0
+    return _top(*(np.concatenate(z) for z in zip(*held)), k)
+
+
+def _homes(shared, redundant):
+    """Rows (id, code, leaf): each representative in its own leaf; the sorted ``redundant`` ids are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gone = redundant.value
         for pdf in batches:
-            x = _unit(pdf["code"])
-            for t, tree in enumerate(shared.value):
-                leaf, _ = tree.leaf(x)
-                yield pdf.assign(tree=np.int32(t), leaf=leaf)
+            at = np.minimum(np.searchsorted(gone, pdf["id"].to_numpy()), max(len(gone) - 1, 0))
+            own = pdf if not len(gone) else pdf[gone[at] != pdf["id"].to_numpy()]
+            if len(own):
+                yield own.assign(leaf=shared.value.leaf(_unit(own["code"])))
 
     return run
 
 
-def _missed(shared, floor_d: float, miss: float):
-    """Of each open vector: whether the chance to have missed a neighbour is still above ``miss``."""
+def _visiting(shared, k: int, floor: float | None, miss: float):
+    """The residents of a leaf, and each again for every further leaf its test asks for."""
+    far = 9.0 if floor is None else float(np.sqrt(max(2 - 2 * floor, 1e-9)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _unit(pdf["code"])
-            d = np.minimum(np.sqrt(np.maximum(2 - 2 * pdf["kth"].to_numpy(dtype=np.float64), 1e-9)), floor_d)[:, None]
-            chance = pdf["chance"].to_numpy(dtype=np.float64)
-            for tree in shared.value:
-                _, faces = tree.leaf(x)
-                chance = chance + np.log1p(-np.prod(1 - _half_chi(faces / d), axis=1).clip(0, 1 - 1e-12))
-            yield pd.DataFrame({"id": pdf["id"], "code": pdf["code"], "chance": chance, "open": chance > np.log(miss)})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(pdf["code"])
+        a, _, s = verified(x, k, floor)
+        worst, count = np.full(len(x), np.inf), np.bincount(a, minlength=len(x))
+        np.minimum.at(worst, a, s)
+        d = np.where(count >= k, np.sqrt(np.maximum(2 - 2 * worst, 1e-9)), far)
+        row, leaf = shared.value.visits(x, np.minimum(d, far), miss)
+        away = pdf.iloc[row].assign(leaf=leaf)
+        return pd.concat([pdf, away], ignore_index=True)
 
     return run
 
 
-def _compared(shared, k: int, floor: float | None):
-    """The best ``k`` of every shared vector within each batch of all vectors."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, codes = shared.value
-        q = _unit(codes)
-        for pdf in batches:
-            ids, x = pdf["id"].to_numpy(), _unit(pdf["code"])
-            for start in range(0, len(q), 512):
-                s = q[start : start + 512] @ x.T
-                s[asked[start : start + 512, None] == ids] = -2
-                if floor is not None:
-                    r, c = np.nonzero(s >= floor)
-                else:
-                    keep = min(k, len(x))
-                    c = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
-                    r = np.repeat(np.arange(len(s)), keep)
-                    r, c = r[s[r, c] > -2], c[s[r, c] > -2]
-                v = s[r, c]
-                order = np.lexsort((-v, r))
-                r, c, v = r[order], c[order], v[order]
-                first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(s)))])[:-1]
-                top = np.arange(len(r)) - first[r] < k
-                yield pd.DataFrame({"id": asked[start + r[top]], "other": ids[c[top]], "sim": v[top]})
+def _verified(k: int, floor: float | None):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        a, b, s = verified(_unit(pdf["code"]), k, floor)
+        return pd.DataFrame({"id": ids[a], "other": ids[b], "sim": s})
 
     return run
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each id; the aggregate keeps at most one row per pair."""
-    distinct = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "sim")
-
-
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.05, leaf: int = LEAF) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.3, leaf: int = LEAF) -> DataFrame:
     """(id_a, id_b, cosine): up to ``k`` most similar other ids of every id, of cosine ``min_sim`` or more if that is given.
 
     All vectors must have one length.  Ids with null, empty, all-zero or non-finite vectors take no part; repeated
-    ids count once.  Of a group of equal vectors each member gets the k members of smallest id (cosine 1), and if there are
-    fewer the neighbours of the group.  An empty table gives no rows.  Answers are approximate:
-    a neighbour is missed with a chance of about ``miss`` at the distance of the k-th or of ``min_sim``, less when nearer.
+    ids count once, by the vector of least md5.  Of a group of equal vectors each member gets the k members of smallest id (cosine 1), and if there are
+    fewer the neighbours of the group.  An empty table gives no rows.  Answers are approximate: ``miss`` is the chance of one
+    side's leaves to hold no neighbour at the distance of its k-th neighbour or of ``min_sim``; a pair is lost where
+    those of both sides have none in common, which is far less likely, and less still for nearer pairs.
     Similarities are of vectors rounded to 16 bits a coordinate (error below 1e-4).
     """
     spark = df.sparkSession
-    packed = spread(clean_vectors(df, id_col, vector)).mapInPandas(_pack, f"id {dict(df.dtypes)[id_col]}, code binary")
-    packed = cut(packed.groupBy("id").agg(F.min("code").alias("code")))  # of several vectors of one id the smallest code counts
-    groups = cut(packed.groupBy("code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.monotonically_increasing_id()))
-    base = groups.select(F.col("n").alias("id"), "code")
+    packed = spread(clean_vectors(df, id_col, vector)).mapInPandas(_pack, f"id {dict(df.dtypes)[id_col]}, code binary").withColumn("n", F.monotonically_increasing_id())
+    packed = cut(packed)
+    # 128 bits stand for a code, so that few bytes are moved
+    members = cut(packed.select("id", F.struct(F.md5("code").alias("mark"), "n").alias("x")).groupBy("id").agg(F.min("x").alias("x")).select("id", "x.mark", "x.n"))
+    groups = cut(members.groupBy("mark").agg(F.min_by("id", "n").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     total = groups.count()
-    depth = max(0, ceil(log2(max(total, 1) / leaf)))
-    share = F.pmod(F.xxhash64("code"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 40))
-    sample = base.where(share).select("code").toPandas()["code"].sort_values()  # about SAMPLE vectors, whatever the number of partitions
     found = None
     if total > 1:
-        points = _unit(sample if len(sample) else base.limit(1).select("code").toPandas()["code"])
-        floor_d = float(np.sqrt(2 - 2 * min_sim)) if min_sim is not None else 9.0
-        state = base.withColumn("chance", F.lit(0.0)).withColumn("open", F.lit(True))
-        done = 0
-        while True:
-            shared = spark.sparkContext.broadcast([Tree(points, depth, 100 + done + t) for t in range(ROUND if depth else 1)])
-            done += ROUND
-            rows = state.select("id", "code", "open").mapInPandas(_placed(shared), "id long, code binary, open boolean, tree int, leaf long")
-            new = rows.groupBy("tree", "leaf").applyInPandas(_search(k, min_sim), "id long, other long, sim float")
-            older, found = found, cut(_best(new if found is None else found.unionByName(new), k))
-            if older is not None:
-                drop(older)
-            if not depth:  # all were in one leaf
-                break
-            kth = found.groupBy("id").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")).select("id", F.when(F.col("n") >= k, F.col("sim")).otherwise(-1.0).alias("kth"))
-            asked = state.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
-            held = asked.where("not open").select("id", "code", "chance", "open")
-            tested = asked.where("open").select("id", "code", "chance", "kth").mapInPandas(_missed(shared, floor_d, miss), "id long, code binary, chance double, open boolean")
-            older, state = state, cut(tested.unionByName(held))
-            if hasattr(older, "_sedge_path"):
-                drop(older)
-            if state.where("open").count() <= leaf:
-                break
-        last = state.where("open").select("id", "code").toPandas() if depth else []
-        if len(last):
-            shared = spark.sparkContext.broadcast((last["id"].to_numpy(), last["code"]))
-            new = spread(base).mapInPandas(_compared(shared, k, min_sim), "id long, other long, sim float")
-            older, found = found, cut(_best(found.unionByName(new), k))
-            drop(older)
-    return _named(packed, groups, found, k)
-
-
-def _named(packed: DataFrame, groups: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
+        wanted = max(log2(total / leaf), log2(LEAVES * spark.sparkContext.defaultParallelism))
+        depth = max(0, ceil(min(wanted, log2(total / LEAST))))
+        width = packed.select((F.length("code") / 2).cast("int")).first()[0]
+        project = np.random.default_rng(100).standard_normal((width, depth)).astype(np.float32)
+        share = min(1.0, max(SAMPLE, SAMPLE_LEAF << depth) / total)
+
+        def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"y": [y.tobytes() for y in _unit(pdf["code"]) @ project]})
+
+        drawn = packed.where(F.pmod(F.xxhash64("code"), F.lit(1 << 40)) < int(share * (1 << 40))).select("code").distinct().mapInPandas(projected, "y binary")
+        sample = np.frombuffer(b"".join(sorted(r[0] for r in drawn.collect())), dtype=np.float32).reshape(-1, depth) if depth else np.zeros((0, 0), dtype=np.float32)
+        shared = spark.sparkContext.broadcast(Tree(project, sample))
+        base = packed.select(F.col("n").alias("id"), "code")
+        if packed.count() - total <= MOST_COPIES:
+            extra = packed.select("n").join(groups.select("n"), "n", "left_anti").toPandas()["n"].to_numpy(dtype=np.int64)
+        else:
+            base, extra = base.join(groups.select(F.col("n").alias("id")), "id", "left_semi"), np.zeros(0, dtype=np.int64)
+        redundant = spark.sparkContext.broadcast(np.sort(extra))
+        rows = "id long, code binary, leaf long"
+        parts = 2 << depth if depth < 10 else 1 << depth
+        home = base.mapInPandas(_homes(shared, redundant), rows).repartition(parts, "leaf")
+        met = home.groupBy("leaf").applyInPandas(_visiting(shared, k, min_sim, miss), rows).repartition(parts, "leaf")
+        pairs = met.groupBy("leaf").applyInPandas(_verified(k, min_sim), "id long, other long, sim float")
+        distinct = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
+        order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+        found = cut(distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "sim"))
+    drop(packed)
+    return _named(members, groups, found, k)
+
+
+def _named(members: DataFrame, groups: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
     """Neighbours of representatives, as ids; copies are linked to the members of smallest id of their group."""
-    reps = groups.select("n", "rep", "copies")
-    # 128 bits stand for a code, so that few bytes are moved
-    copied = groups.where("copies > 1").select(F.md5("code").alias("mark"), "n")
-    members = salted_join(packed.select(F.md5("code").alias("mark"), "id"), copied, "mark").select("n", "id")
-    order = Window.partitionBy("n").orderBy("id")
-    low = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("n", F.col("id").alias("other"), "r")
-    links = salted_join(members, low, "n").where("id <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("r"))).where(F.col("rank") <= k)
+    copied = groups.where("copies > 1").select("mark", F.col("n").alias("g"))
+    members = cut(salted_join(members.select("mark", "id"), copied, "mark").select("g", "id"))
+    order = Window.partitionBy("g").orderBy("id")
+    low = cut(members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("g", F.col("id").alias("other"), "r"))
+    links = salted_join(members, low, "g").where("id <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("r"))).where(F.col("rank") <= k)
     out = links.select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), F.lit(1.0).cast("float").alias("cosine"))
     if found is None:
         return out
-    one = found.join(reps.select(F.col("n").alias("id"), F.col("rep").alias("rep_a"), F.col("copies").alias("copies_a")), "id")
-    two = one.join(reps.select(F.col("n").alias("other"), F.col("rep").alias("rep_b"), F.col("copies").alias("copies_b")), "other")
-    single = two.where("copies_a = 1").select("id", F.col("rep_a").alias("id_a"), "other", "rep_b", "copies_b", "sim")
-    several = two.where(f"copies_a between 2 and {k}").select("id", "other", "rep_b", "copies_b", "sim")
-    member_rows = several.join(members.select(F.col("n").alias("id"), F.col("id").alias("id_a")), "id").select("id", "id_a", "other", "rep_b", "copies_b", "sim")
+    one = found.join(groups.select(F.col("n").alias("id"), F.col("rep").alias("rep_a"), F.col("copies").alias("copies_a")), "id")
+    two = one.join(groups.select(F.col("n").alias("other"), F.col("rep").alias("rep_b"), F.col("copies").alias("copies_b")), "other")
+    two = cut(two.where(f"copies_a <= {k}").select("id", "rep_a", "copies_a", "other", "rep_b", "copies_b", "sim"))
+    single = two.where("copies_a = 1").select(F.col("rep_a").alias("id_a"), "other", "rep_b", "copies_b", "sim")
+    several = two.where("copies_a > 1").select(F.col("id").alias("g"), "other", "rep_b", "copies_b", "sim")
+    member_rows = several.join(low.where(F.col("r") <= k).select("g", F.col("other").alias("id_a")), "g").select("id_a", "other", "rep_b", "copies_b", "sim")
     asked = single.unionByName(member_rows)
     plain = asked.where("copies_b = 1").select("id_a", F.col("rep_b").alias("id_b"), F.col("sim").alias("cosine"))
-    group = asked.where("copies_b > 1").join(low.select(F.col("n").alias("other"), F.col("other").alias("id_b"), "r").where(F.col("r") <= k), "other").select("id_a", "id_b", F.col("sim").alias("cosine"))
+    group = asked.where("copies_b > 1").select("id_a", F.col("other").alias("g"), "sim").join(low.where(F.col("r") <= k), "g").select("id_a", F.col("other").alias("id_b"), F.col("sim").alias("cosine"))
     every = plain.unionByName(group).unionByName(out)
     rank = Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b")
     return every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id_a", "id_b", "cosine")
