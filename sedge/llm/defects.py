@@ -327,4 +327,4 @@ def defective(answers: DataFrame, model: Defects | None = None) -> DataFrame:
             yield pd.DataFrame({"answer_id": pdf["answer_id"], "defect": shared.value.defects(pdf)}).dropna()
 
     columns = ["answer_id", "question", "lang", "class_name", "stop_reason", F.coalesce("raw_text", F.lit("")).alias("raw_text")]
-    return spread(answers.select(*columns).distinct()).mapInPandas(run, f"answer_id {dict(answers.dtypes)['answer_id']}, defect string").distinct()
+    return spread(answers.select(*columns)).mapInPandas(run, f"answer_id {dict(answers.dtypes)['answer_id']}, defect string").distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm.sentences import Model
 from sedge.operators.skew import salted_join
-from sedge.session import slices, spread
+from sedge.session import slices
 
 WORD = re.compile(r"[^ \t\r\n]+")
 LIMIT, OVERLAP = 160, 20
@@ -54,15 +54,16 @@ def split_text(text: str, model: Model, limit: int = LIMIT, overlap: int = OVERL
 
 
 def chunk_stretches(chunks: DataFrame, filings: DataFrame) -> DataFrame:
-    """(chunk_id, char_start, stretch, n_words) of each distinct chunk whose filing exists.
+    """(chunk_id, char_start, stretch, n_words) of each chunk whose filing exists.
 
     ``accession_no`` is trimmed.  Chunks without a filing or with a null id or offset give no rows; offsets
-    outside the text are clipped; a filing that was loaded again counts once (a filing with several texts: each of them).
+    outside the text are clipped.  Texts are moved once, to their chunks: a filing that was loaded again gives its stretches
+    again (``oversized_pieces`` makes them distinct), one with several texts those of each.
     """
     asked = chunks.select(F.btrim("accession_no", F.lit(" \t")).alias("acc"), "chunk_id", "char_start", "char_end").where(
         "chunk_id is not null and char_start is not null and char_end is not null"
     )
-    texts = filings.where("parsed_text is not null").select(F.col("accession_no").alias("acc"), "parsed_text").distinct()
+    texts = filings.where("parsed_text is not null").select(F.col("accession_no").alias("acc"), "parsed_text")
     begin = F.greatest(F.col("char_start"), F.lit(0))
     stretch = F.substring(F.col("parsed_text"), begin + 1, F.greatest(F.col("char_end") - begin, F.lit(0)))
     joined = salted_join(asked.distinct(), texts, "acc").select("chunk_id", begin.alias("char_start"), stretch.alias("stretch"))
@@ -91,4 +92,4 @@ def oversized_pieces(stretches: DataFrame, model: Model, limit: int = LIMIT, ove
             yield pd.DataFrame(rows, columns=["chunk_id", "piece", "char_start", "char_end", "n_words", "natural"])
 
     big = stretches.where(F.col("n_words") > limit).select("chunk_id", "char_start", "stretch")
-    return spread(big).mapInPandas(run, "chunk_id string, piece int, char_start int, char_end int, n_words int, natural boolean")
+    return big.mapInPandas(run, "chunk_id string, piece int, char_start int, char_end int, n_words int, natural boolean").distinct()

@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(answer_id, kept_at, sent_start, sent_end): the units of the kept texts of each answer, by their place in ``kept`` from 0."""
     answers = table(spark, sf_dir, "answers")
-    kept = answers.where("kept is not null").select("answer_id", F.posexplode("kept").alias("kept_at", "s")).select("answer_id", "kept_at", F.col("s.text").alias("text")).distinct()
+    kept = answers.where("kept is not null").select("answer_id", F.posexplode("kept").alias("kept_at", "s")).select("answer_id", "kept_at", F.col("s.text").alias("text"))
     return sentence_units(kept, fitted(table(spark, sf_dir, "filings"), answers), ["answer_id", "kept_at"]).distinct()
 
 

@@ -308,11 +308,13 @@ def training_texts(filings: DataFrame, answers: DataFrame) -> list[str]:
     hashed = filings.where("parsed_text is not null").select("parsed_text", F.xxhash64("parsed_text").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(TRAIN_FILINGS).agg(F.max("h")).first()[0]  # hashes alone, so that no task sends texts it need not
     long = hashed.where(F.col("h") <= last).select("parsed_text").distinct() if last is not None else hashed.select("parsed_text").where("false")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     lang = F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2)).alias("lang")
-    short = answers.where("text is not null").select("text", lang).distinct().withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_ANSWERS_PER_LANG)
+    given = answers.where("text is not null").select("text", lang).where("lang in ('en','de','fr','es','zh','ja','hi','ar','th')")
+    hashes = given.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    most = hashes.where(F.col("n") <= TRAIN_ANSWERS_PER_LANG).groupBy("lang").agg(F.max("h").alias("most"))  # one row a language
+    short = given.join(F.broadcast(most), "lang").where(F.xxhash64("text") <= F.col("most")).select("text").distinct()
     texts = [r[0] for r in long.select(F.substring("parsed_text", 1, TRAIN_CHARS)).collect()]
-    return sorted(texts) + sorted(r[0] for r in short.where("lang in ('en','de','fr','es','zh','ja','hi','ar','th')").select(F.substring("text", 1, TRAIN_CHARS)).collect())
+    return sorted(texts) + sorted(r[0] for r in short.select(F.substring("text", 1, TRAIN_CHARS)).collect())
 
 
 def fitted(filings: DataFrame, answers: DataFrame) -> Model:
@@ -345,8 +347,11 @@ def sentence_units(texts: DataFrame, model: Model, keys: list[str], text: str =
 
 
 def found_units(filings: DataFrame, answers: DataFrame) -> DataFrame:
-    """(source_table, row_key, sent_start, sent_end): the units of filings.parsed_text and answers.text, each distinct text of a key once."""
+    """(source_table, row_key, sent_start, sent_end): the units of filings.parsed_text and answers.text, each distinct unit of a key once.
+
+    Repeated rows are segmented again rather than found by a shuffle of whole texts; their units come out once.
+    """
     both = filings.select(F.lit("filings").alias("source_table"), F.col("accession_no").alias("row_key"), F.col("parsed_text").alias("text")).unionByName(
         answers.select(F.lit("answers").alias("source_table"), F.col("answer_id").cast("string").alias("row_key"), "text")
     )
-    return sentence_units(both.distinct(), fitted(filings, answers), ["source_table", "row_key"]).distinct()
+    return sentence_units(both, fitted(filings, answers), ["source_table", "row_key"]).distinct()
