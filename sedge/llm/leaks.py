@@ -1,7 +1,8 @@
 """Evaluation texts that leaked into training text (problem 8).
 
-The held-out items are few and of fixed number, so their passages travel to every task, where an
-index of their character q-grams is kept; the corpus is scanned once and never shuffled.
+The held-out passages travel to every task, where an index of their character q-grams is kept; the
+corpus is scanned and never shuffled.  Passages of more than ``ITEM_CHARS`` characters in all go out in several
+blocks, each with a scan of its own.
 
 Filter (q-gram lemma): a text window of ``w`` characters within ``edits`` edits of a window of a
 passage shares at least ``w - q + 1 - q * edits`` q-grams with it, all on neighbouring diagonals
@@ -10,14 +11,18 @@ by half, so any true match lies wholly within one band; a band keeps its candida
 reaches the bound for the shortest window of ``min_tokens`` tokens that the passage has, within
 the length of that window.
 
-Verification: a local alignment inside the band, then the longest run of equal consecutive tokens
-within the region.
+Verification: a local alignment inside the band, and the longest run of equal consecutive tokens
+within the stretches of text between the first and the last counted q-gram of a band: a run of ``min_tokens``
+tokens reaches the bound by itself, so it lies within such a stretch whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -30,8 +35,8 @@ from sedge.session import slices, spread
 TOKEN = re.compile(r"[^\W_]+")
 Q = 12
 _B = np.uint64(0x9E3779B97F4A7C15)
-#: More items than this are refused: the passages of all items travel to every task.
-MOST_ITEMS = 100_000
+#: Characters of passages that travel to every task at once.
+ITEM_CHARS = 20_000_000
 TABLE_BITS = 22
 
 
@@ -161,50 +166,78 @@ class Passages:
         return best
 
 
+def _stretch_tokens(joined: str, first: int, last: int) -> list[str]:
+    """The whole tokens of ``joined`` that the characters from ``first`` to ``last`` touch."""
+    end = joined.find(" ", last)
+    return joined[joined.rfind(" ", 0, first + 1) + 1 : len(joined) if end < 0 else end].split(" ")
+
+
+def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _leaks_in(p: Passages, joined: list[str]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(text, passage) -> (score, begin, end, run) of the verified candidates of some texts."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    stretches, verified = defaultdict(list), defaultdict(list)
+    codes: dict[int, np.ndarray] = {}
+    for t, o, low, first, last in sorted(zip(*(x.tolist() for x in p.candidates(joined)))):
+        band = (low + p.width // 4) // (p.width // 2)
+        stretches[t, o].append((first, last + p.q))
+        # what was aligned whole in a band need not be aligned again in the one that overlaps it by half
+        if any(band - b in (0, 1) and begin <= first and last + p.q <= end for b, begin, end in verified[t, o]):
+            continue
+        if t not in codes:
+            codes = {t: _codes(joined[t])}
+        score, begin, end = p.aligned(codes[t], o, low, first, last)
+        if score >= p.bound[o]:
+            verified[t, o].append((band, begin, end))
+            if score > found.get((t, o), (0,))[0]:
+                found[t, o] = (score, begin, end)
+    return {(t, o): (*v, max(p.longest_run(_stretch_tokens(joined[t], a, b), o) for a, b in _merged(stretches[t, o]))) for (t, o), v in found.items()}
+
+
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_tokens: int = 12, edits: int = 1
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_tokens: int = 12, edits: int = 1, item_chars: int = ITEM_CHARS
 ) -> DataFrame:
     """(doc_id, item_id, begin, end, score, run): every item whose passage a document holds in part.
 
     A row says that some window of the document lies within ``edits`` character edits of a window
     of at least ``min_tokens`` tokens of the passage; ``begin`` and ``end`` are offsets of the best
     alignment in the document's tokens joined by single blanks, ``run`` is the length of the longest
-    run of equal consecutive tokens in the region.  Tokens are maximal runs of letters and digits in lower case.
+    run of equal consecutive tokens in the matching stretches.  Tokens are maximal runs of letters and digits in lower case.
     Passages of fewer tokens, null passages and null or empty texts give no rows; repeated items
-    and repeated documents count once.  The items must be at most MOST_ITEMS.
+    and repeated documents count once.  There is no limit on the items: at most about ``item_chars`` characters of
+    passages are held at once, and each such block of items is looked for in a scan of its own.
     """
-    held = [(r[0], r[1]) for r in items.select(item_id, passage).where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).distinct().limit(MOST_ITEMS + 1).collect()]
-    if len(held) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items; split them into several calls")
-    index = docs.sparkSession.sparkContext.broadcast(sorted(held))
-    kept: dict = {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "p" not in kept:
-            kept["p"] = Passages(index.value, min_tokens, edits)
-        p: Passages = kept["p"]
-        for pdf in slices(batches):
-            joined = [" ".join(TOKEN.findall(t)).lower() for t in pdf["text"]]
-            found: dict[tuple[int, int], tuple] = {}
-            done: set[tuple] = set()
-            for t, o, low, first, last in sorted(zip(*(x.tolist() for x in p.candidates(joined)))):
-                band = (low + p.width // 4) // (p.width // 2)  # a match verified in a band need not be verified in the one that overlaps it by half
-                if {(t, o, band - 1, first // 64), (t, o, band, first // 64)} & done:
-                    continue
-                score, begin, end = p.aligned(_codes(joined[t]), o, low, first, last)
-                if score >= p.bound[o]:
-                    done.add((t, o, band, first // 64))
-                    if score > found.get((t, o), (0,))[0]:
-                        found[t, o] = (score, begin, end, 0)
-            for (t, o), (score, begin, end, _) in list(found.items()):
-                found[t, o] = (score, begin, end, p.longest_run(joined[t].split(" "), o))
-            ids = pdf["doc"].to_numpy()
-            yield pd.DataFrame(
-                [(ids[t], p.ids[o], *v) for (t, o), v in found.items()], columns=["doc", "item_id", "score", "begin", "end", "run"]
-            ).astype({"doc": "int64", "item_id": "object"})
-
+    held = items.select(F.col(item_id).alias("item"), F.col(passage).alias("passage")).where("item is not null and passage is not null").distinct()
+    blocks = max(1, ceil((held.agg(F.sum(F.length("passage"))).first()[0] or 0) / item_chars))
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text <> ''")
-    rows = spread(base).mapInPandas(run, "doc long, item_id string, score long, begin long, end long, run long")
+    base = spread(base)
+
+    def scan(block: int) -> DataFrame:
+        own = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        index = docs.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in own.collect()))
+        kept: dict = {}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if "p" not in kept:
+                kept["p"] = Passages(index.value, min_tokens, edits)
+            p: Passages = kept["p"]
+            for pdf in slices(batches):
+                found = _leaks_in(p, [" ".join(TOKEN.findall(t)).lower() for t in pdf["text"]])
+                ids = pdf["doc"].to_numpy()
+                yield pd.DataFrame([(ids[t], p.ids[o], *v) for (t, o), v in found.items()], columns=["doc", "item_id", "score", "begin", "end", "run"]).astype({"doc": "int64", "item_id": "object"})
+
+        return base.mapInPandas(run, "doc long, item_id string, score long, begin long, end long, run long")
+
+    rows = reduce(DataFrame.unionByName, (scan(b) for b in range(blocks)))
     # an id or an item that occurs again counts once
     best = rows.groupBy("doc", "item_id").agg(F.max_by(F.struct("begin", "end", "score"), "score").alias("best"), F.max("run").alias("run"))
     return best.select(F.col("doc").alias(doc_id), "item_id", "best.begin", "best.end", "best.score", "run")
