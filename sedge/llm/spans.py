@@ -2,20 +2,24 @@
 
 A span of at least ``min_words`` words that two documents share is a node of depth ``min_words``
 or more in the suffix tree over the words of all documents, with leaves from two documents.  The
-suffixes are split by prefixes of two lengths, so that no tree ever has to be held as a whole:
+suffixes are split by prefixes of varying length into groups that fit in memory, and a subtree is
+built for each, so that no tree ever has to be held as a whole:
 
 1. Every suffix is represented by the short prefix (``PREFIX`` words) of least fingerprint inside
    its first ``min_words`` words.  Suffixes that agree on ``min_words`` words agree on that short
    prefix, and one short prefix serves about thirteen neighbouring suffixes, so this first
-   partition is small.  Parts with leaves from one document only are dropped: no node of the
+   partition is small.  Groups with leaves from one document only are dropped: no node of the
    wanted depth lies below them.
-2. In the parts that remain every suffix is extended to a prefix of ``min_words`` words.  The node
-   at that depth is the set of suffixes of equal prefix; a node whose smallest and largest
-   document differ is deep and shared.  Those two are aggregated on the map side, so a node with a
-   third of all documents below it costs no more than one row a task, and no group is gathered.
+2. A group of at most ``GROUP`` runs of suffixes is gathered with the words of its suffixes, and its subtree is
+   built as a sorted array of suffixes with the lengths of common prefixes of neighbours.  Stretches of
+   the array that agree on ``min_words`` words are the subtree's deep internal nodes; words are compared one
+   by one (64-bit codes of words).
+3. A greater group (a passage with a third of all documents below it) is split further, by the
+   longest prefix that still matters, ``min_words`` words.  A node at that depth needs no subtree: its
+   smallest and largest document tell whether it is shared, and are aggregated on the map side, so that no
+   such group is gathered.  Here prefixes are compared by 128-bit fingerprints.
 
-Runs of words below shared nodes, joined where they touch, are the result.  Prefixes are compared
-by 128-bit fingerprints of the words (two independent polynomial hashes over 64-bit word hashes).
+Runs of words below shared nodes, joined where they touch, are the result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from sedge.session import cut, slices, spread
 
 #: Words of a short prefix.
 PREFIX = 25
+#: Runs of suffixes (each about 13 suffixes, 63 words) of a group whose subtree is built in memory; and words worked on at once.
+GROUP, WORDS = 20_000, 1_000_000
 WORD = re.compile(r"[^ \t\r\n]+")
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -115,28 +121,113 @@ def _short_prefixes(min_words: int):
     return run
 
 
-def _deep_prefixes(min_words: int):
+def _extended(min_words: int):
+    """Of every run of suffixes of an open group: its words, or in great groups each suffix with the fingerprint of its first ``min_words`` words."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
             texts = pdf["text"].tolist()
             text, first, short, h, starts = _suffixes(texts, min_words)
             if not len(text):
                 continue
-            parts = [np.asarray(p, dtype=np.int64) for p in pdf["parts"]]
-            keep = np.zeros(len(text), dtype=bool)
+            kind = np.zeros(len(text), dtype=np.int8)  # 1: gathered, 2: great
             for k in range(len(texts)):
                 at = slice(*np.searchsorted(text, [k, k + 1]))
-                keep[at] = np.isin(short[at].view(np.int64), parts[k])
-            at = starts[text[keep]] + first[keep]
+                own = short[at].view(np.int64)
+                for flag, column in ((1, "few"), (2, "many")):
+                    kind[at][np.isin(own, np.asarray(pdf[column].iloc[k], dtype=np.int64))] = flag
+            docs = pdf["doc"].to_numpy()
+            head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (short[1:] != short[:-1]) | (first[1:] != first[:-1] + 1)]))
+            tail = np.append(head[1:], len(text)) - 1
+            head, tail = head[kind[head] == 1], tail[kind[head] == 1]
+            begin, end = starts[text[head]] + first[head], starts[text[tail]] + first[tail] + min_words
+            words = [h[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+            gathered = pd.DataFrame({"doc": docs[text[head]], "first": first[head].astype(np.int32), "part": short[head].view(np.int64), "words": pd.Series(words, dtype="object"), "k1": np.int64(0), "k2": np.int64(0)})
+            great = kind == 2
+            at = starts[text[great]] + first[great]
             one, two = windows(h, min_words, _B1), windows(_mixed(h), min_words, _B2)
-            yield pd.DataFrame(
-                {"doc": pdf["doc"].to_numpy()[text[keep]], "first": first[keep].astype(np.int32), "k1": one[at].view(np.int64), "k2": two[at].view(np.int64)}
-            )
+            deep = pd.DataFrame({"doc": docs[text[great]], "first": first[great].astype(np.int32), "part": np.int64(0), "words": pd.Series([None] * len(at), dtype="object"), "k1": one[at].view(np.int64), "k2": two[at].view(np.int64)})
+            yield pd.concat([gathered, deep], ignore_index=True)
 
     return run
 
 
-def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+def shared_leaves(owner: np.ndarray, words: list[np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, offset) of the suffixes below deep nodes of two documents, of the subtree over the suffixes of ``words``.
+
+    owner is the document of each run of words; suffixes with fewer than ``min_words`` words left in their run are no leaves.
+    """
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.cumsum(lengths + 1)
+    begins = ends - lengths - 1
+    codes = np.zeros(int(ends[-1]), dtype=np.int64)
+    flat = np.concatenate(words)
+    inside = np.ones(len(codes), dtype=bool)
+    inside[ends - 1] = False
+    codes[inside] = np.unique(flat, return_inverse=True)[1] + len(words)
+    codes[ends - 1] = np.arange(len(words))  # an end of its own for each run: no common prefix reaches over it
+    ranks, size = [codes], 1
+    while size < min_words:  # prefix doubling
+        last = ranks[-1]
+        after = np.concatenate([last[size:], np.full(min(size, len(last)), -1, dtype=np.int64)])
+        ranks.append(np.unique(last * (len(codes) + len(words) + 2) + after + 1, return_inverse=True)[1])
+        size *= 2
+    run = np.repeat(np.arange(len(words)), np.maximum(lengths - min_words + 1, 0))
+    leaf = np.arange(len(run)) - np.repeat(np.cumsum(np.maximum(lengths - min_words + 1, 0)) - np.maximum(lengths - min_words + 1, 0), np.maximum(lengths - min_words + 1, 0))
+    at = begins[run] + leaf
+    order = np.argsort(ranks[-1][at], kind="stable")
+    run, leaf, at = run[order], leaf[order], at[order]
+    # length of the common prefix of neighbours in the array, from the longest power of two down
+    common, live = np.zeros(max(len(at) - 1, 0), dtype=np.int64), np.ones(max(len(at) - 1, 0), dtype=bool)
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = np.minimum(at[:-1] + common, len(codes) - 1), np.minimum(at[1:] + common, len(codes) - 1)
+        common += np.where(live & (ranks[k][a] == ranks[k][b]), 1 << k, 0)
+        live &= common < min_words
+    node = np.concatenate([[True], common < min_words]) if len(at) else np.zeros(0, dtype=bool)
+    heads = np.flatnonzero(node)
+    if not len(heads):
+        return run, leaf
+    low, high = np.minimum.reduceat(owner[run], heads), np.maximum.reduceat(owner[run], heads)
+    shared = np.repeat(low != high, np.diff(np.append(heads, len(at))))
+    return run[shared], leaf[shared]
+
+
+def _subtrees(min_words: int):
+    """(doc, lo, hi): stretches of first words of shared leaves; the rows come sorted by group, and a group is never divided."""
+
+    def built(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [np.frombuffer(w, dtype=np.uint64) for w in pdf["words"]]
+        docs, first = pdf["doc"].to_numpy(), pdf["first"].to_numpy()
+        # runs of several groups in one array: suffixes of different groups differ within min_words words by themselves
+        run, leaf = shared_leaves(docs, words, min_words)
+        order = np.lexsort((leaf, run))
+        run, leaf = run[order], leaf[order]
+        head = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (leaf[1:] != leaf[:-1] + 1)])) if len(run) else np.zeros(0, dtype=np.int64)
+        tail = np.append(head[1:], len(run)) - 1 if len(head) else head
+        return pd.DataFrame({"doc": docs[run[head]], "lo": (first[run[head]] + leaf[head]).astype(np.int32), "hi": (first[run[head]] + leaf[tail]).astype(np.int32)})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += int(pdf["words"].str.len().sum()) // 8
+            if size >= WORDS:
+                rows = pd.concat(held, ignore_index=True)
+                whole = int(np.searchsorted(rows["part"].to_numpy(), rows["part"].iloc[-1], "left"))  # the last group may go on
+                if whole:
+                    yield built(rows.iloc[:whole])
+                held = [rows.iloc[whole:]]
+                size = int(held[0]["words"].str.len().sum()) // 8
+        if held:
+            yield built(pd.concat(held, ignore_index=True))
+
+    return work
+
+
+def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, group: int = GROUP) -> DataFrame:
     """(doc_id, first_word, last_word): the maximal runs of words that each lie in a shared span.
 
     A shared span is a run of at least ``min_words`` words that another document holds word for
@@ -147,17 +238,22 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     base = spread(base)
-    parts = base.mapInPandas(_short_prefixes(min_words), "doc long, part long").distinct()
-    parts = cut(parts)
-    open_parts = parts.groupBy("part").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("part")
-    of_doc = salted_join(parts, open_parts, "part", "left_semi").groupBy("doc").agg(F.collect_list("part").alias("parts"))
-    suffixes = cut(base.join(of_doc, "doc").mapInPandas(_deep_prefixes(min_words), "doc long, first int, k1 long, k2 long"))
-    deep = suffixes.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select(F.struct("k1", "k2").alias("node"))
-    under = salted_join(suffixes.select("doc", "first", F.struct("k1", "k2").alias("node")), deep, "node", "left_semi").select("doc", "first")
-    order = Window.partitionBy("doc").orderBy("first")
-    runs = under.withColumn("new", F.when(F.col("first") - F.lag("first").over(order) <= min_words, 0).otherwise(1))
+    parts = cut(base.mapInPandas(_short_prefixes(min_words), "doc long, part long").distinct())
+    open_parts = cut(parts.groupBy("part").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("part", (F.col("n") > group).alias("great")))
+    listed = salted_join(parts, open_parts, "part")
+    of_doc = listed.groupBy("doc").agg(F.collect_list(F.when(~F.col("great"), F.col("part"))).alias("few"), F.collect_list(F.when(F.col("great"), F.col("part"))).alias("many"))
+    schema = "doc long, first int, part long, words binary, k1 long, k2 long"
+    extended = cut(base.join(of_doc, "doc").mapInPandas(_extended(min_words), schema))
+    gathered = extended.where("words is not null").select("part", "doc", "first", "words").repartition("part").sortWithinPartitions("part")
+    low = gathered.mapInPandas(_subtrees(min_words), "doc long, lo int, hi int")
+    suffixes = extended.where("words is null").select("doc", "first", F.struct("k1", "k2").alias("node"))
+    deep = suffixes.groupBy("node").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("node")
+    under = low.unionByName(salted_join(suffixes, deep, "node", "left_semi").select("doc", F.col("first").alias("lo"), F.col("first").alias("hi")))
+    order = Window.partitionBy("doc").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = under.withColumn("new", F.when(F.col("lo") - before <= min_words, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc", "run").agg(F.min("first").alias("first_word"), (F.max("first") + (min_words - 1)).cast("int").alias("last_word")).select(
+    return runs.groupBy("doc", "run").agg(F.min("lo").alias("first_word"), (F.max("hi") + (min_words - 1)).cast("int").alias("last_word")).select(
         F.col("doc").alias(doc_id), "first_word", "last_word"
     )
 
