@@ -94,8 +94,8 @@ def group_pairs(pairs: DataFrame, key_a: str = "key_a", key_b: str = "key_b", sa
         keyed.select(F.explode(F.array("a", "b")).alias("node_key")).where("node_key is not null").distinct().withColumn("id", F.monotonically_increasing_id())
     )
     links = keyed.where("same and a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    half = salted_join(links, keys.select(F.col("node_key").alias("a"), F.col("id").alias("src")), "a").select("src", "b")
-    edges = salted_join(half, keys.select(F.col("node_key").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
+    half = salted_join(cut(links), keys.select(F.col("node_key").alias("a"), F.col("id").alias("src")), "a").select("src", "b")
+    edges = salted_join(cut(half), keys.select(F.col("node_key").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
     rooted = keys.join(components(edges), "id", "left").select("node_key", F.coalesce("root", "id").alias("root"))
     rooted = cut(rooted)
     smallest = rooted.groupBy("root").agg(F.min("node_key").alias("group_key"))
