@@ -48,3 +48,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     copies = F.when(F.col("__heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r2 = right.join(keys, F.col(key) == F.col("__heavy"), "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
     return l2.join(r2, [key, "__salt"], how).drop("__salt")
+
+
+#: Up to so many rows an iterative operator works in one partition, where a pass is a single stage; more go over all partitions.
+FEW = 500_000
+
+
+def gathered(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` in one partition if it has ``few`` rows: joins and aggregations of such tables need no exchange."""
+    return df.coalesce(1) if few else df
+
+
+def local_join(left: DataFrame, right: DataFrame, key: str, few: bool, hot: list, how: str = "inner") -> DataFrame:
+    """The join of two tables ``gathered`` in one partition by a hash table of the right one, or a salted join."""
+    return left.join(right.hint("shuffle_hash"), key, how) if few else salted_join(left, right, key, how, hot=hot)
