@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.operators.skew import hot_keys, salted_join
+from sedge.operators.skew import FEW, gathered, hot_keys, local_join, salted_join
 from sedge.session import cut, drop
 
 #: Rate of the exponential shifts: the mean head start of a cluster is 1/BETA hops.
@@ -32,17 +32,16 @@ def _shift(level: int):
     return -F.log(u) / BETA
 
 
-def _clusters(edges: DataFrame, level: int, hot: list) -> DataFrame:
+def _clusters(edges: DataFrame, level: int, few: bool, hot: list) -> DataFrame:
     """(id, center) of each vertex of the symmetric ``edges`` (src, dst): the cluster that reaches it first."""
     vertices = edges.select(F.col("src").alias("id")).distinct()
     reached = vertices.select("id", (-_shift(level)).alias("at"), F.col("id").alias("center"))
     # a vertex keeps its own arrival through an edge of length 0 to itself, so a step reads ``reached`` once
-    steps = edges.select(F.col("src").alias("id"), "dst", F.lit(1.0).alias("len")).unionByName(
-        vertices.select("id", F.col("id").alias("dst"), F.lit(0.0).alias("len"))
-    )
+    loops = vertices.select("id", F.col("id").alias("dst"), F.lit(0.0).alias("len"))
+    steps = gathered(edges.select(F.col("src").alias("id"), "dst", F.lit(1.0).alias("len")).unionByName(loops), few)
     for _ in range(HOPS):
         reached = (
-            salted_join(steps, reached, "id", hot=hot)
+            local_join(steps, reached, "id", few, hot)
             .groupBy("dst")
             .agg(F.min(F.struct((F.col("at") + F.col("len")).alias("at"), "center")).alias("first"))
             .select(F.col("dst").alias("id"), "first.at", "first.center")
@@ -50,11 +49,11 @@ def _clusters(edges: DataFrame, level: int, hot: list) -> DataFrame:
     return reached.select("id", "center")
 
 
-def _contract(edges: DataFrame, clusters: DataFrame, hot: list) -> DataFrame:
+def _contract(edges: DataFrame, clusters: DataFrame, few: bool, hot: list) -> DataFrame:
     """The distinct edges between different clusters, both directions."""
     names = clusters.select(F.col("id").alias("src"), F.col("center").alias("csrc"))
-    half = salted_join(edges, names, "src", hot=hot).select("csrc", "dst")
-    both = salted_join(half, names.select(F.col("src").alias("dst"), F.col("csrc").alias("cdst")), "dst", hot=hot)
+    half = local_join(edges, names, "src", few, hot).select("csrc", "dst")
+    both = local_join(half, names.select(F.col("src").alias("dst"), F.col("csrc").alias("cdst")), "dst", few, hot)
     return both.where("csrc <> cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct()
 
 
@@ -66,18 +65,23 @@ def components(edges: DataFrame) -> DataFrame:
     two_way = edges.where("src <> dst").select("src", "dst")
     edges = cut(two_way.unionByName(two_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     levels = []
-    while not edges.isEmpty():
-        hot = hot_keys(edges, "src")  # the edges stand in both directions, so the same keys are heavy as ends
-        clusters = cut(_clusters(edges, len(levels), hot))
-        levels.append(clusters)
-        finer, edges = edges, cut(_contract(edges, clusters, hot))
+    while n := edges.count():
+        few = n <= FEW
+        graph = gathered(edges, few)
+        hot = [] if few else hot_keys(edges, "src")  # the edges stand in both directions, so the same keys are heavy as ends
+        clusters = cut(_clusters(graph, len(levels), few, hot))
+        levels.append((clusters, few))
+        finer, edges = edges, cut(_contract(graph, gathered(clusters, few), few, hot))
         drop(finer)
     if not levels:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("root"))
-    roots = levels.pop().select("id", F.col("center").alias("root"))
+    clusters, few = levels.pop()
+    roots = gathered(clusters, few).select("id", F.col("center").alias("root"))
     while levels:
+        clusters, few = levels.pop()
         upper = roots.select(F.col("id").alias("center"), "root")
-        roots = salted_join(levels.pop(), upper, "center", "left").select("id", F.coalesce("root", "center").alias("root"))
+        below = local_join(gathered(clusters, few), upper, "center", few, [], "left") if few else salted_join(clusters, upper, "center", "left")
+        roots = below.select("id", F.coalesce("root", "center").alias("root"))
     return roots
 
 
