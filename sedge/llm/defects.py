@@ -3,7 +3,7 @@
 A multi-label linear classifier on hashed n-grams of the reply and on features of the pair.  Its
 training rows are made from a bounded sample of replies: complete sentence units cut off at random
 places (truncated), questions given back in several ways (question_copy), blank and placeholder
-replies (empty), replies of one language paired with a question of another (wrong_language), and replies that
+replies (empty), replies swapped with those of another language, whole and in part (wrong_language), and replies that
 the log itself marks as refused or declined, paired with other questions (refusal).  A language
 classifier of the same kind, trained on the labelled questions and their replies, gives the languages of
 the sentences.  Each label's threshold is calibrated on rows held out of the training.
@@ -29,7 +29,7 @@ TRAIN_PER_LANG = 900
 SOUND_PER_DEFECT = 12
 #: The threshold is, of those whose F1 is as good but for so much, the nearest to even odds.
 SLACK = 0.01
-LABELS = ("empty", "refusal", "question_copy", "truncated")
+LABELS = ("empty", "refusal", "question_copy", "truncated", "wrong_language")
 LANGS = ("en", "de", "fr", "es", "zh", "ja", "hi", "ar", "th")
 WIDTH = 96
 
@@ -200,19 +200,30 @@ def copy_features(question: str, reply: str) -> list[str]:
     return ["b", f"out{a}", f"back{b}", f"both{a}|{b}", f"len{min(5, len(r) // max(1, len(q)))}", f"none{not r}"]
 
 
+def language_pair_features(want: str, told: list[str], asked: bool) -> list[str]:
+    """How the languages of a reply's sentences go with the one that is wanted."""
+    share = sum(c != want for c in told) / len(told) if told else 0.0
+    first = told[0] != want if told else False
+    other = len(set(told) - {want})
+    return ["b", f"share{int(share * 10)}", f"most{share > 0.5}", f"n{min(4, len(told))}|{share > 0.5}", f"first{first}|{share > 0.5}", f"other{min(3, other)}", f"asked{asked}|{share > 0.5}"]
+
+
 class Defects:
     """The trained parts; picklable."""
 
     def __init__(self, sentences: Model, languages: Languages, parts: dict[str, Linear]):
         self.sentences, self.languages, self.parts = sentences, languages, parts
 
-    def wrong_language(self, question: str, lang: str | None, units: list[str]) -> bool:
+    def language_pair(self, question: str, lang: str | None, units: list[str]) -> list[str] | None:
+        """The features of a reply's languages; null where no language is wanted, or nothing is said."""
         asked = _ASK.search(question or "")
         want = ASKED[asked.group(1).lower()] if asked else lang_code(lang) or (self.languages.of([question])[0] if question else None)
         told = [u for u in units if sum(c.isalpha() for c in _CITE.sub("", u)) >= 4]
-        if not want or not told:
-            return False
-        return 2 * sum(c != want for c in self.languages.of(told)) > len(told)
+        return language_pair_features(want, self.languages.of(told), asked is not None) if want and told else None
+
+    def wrong_language(self, question: str, lang: str | None, units: list[str]) -> bool:
+        part, features = self.parts["wrong_language"], self.language_pair(question, lang, units)
+        return features is not None and bool(part.score(Linear.rows([features]))[0] > part.threshold)
 
     def defects(self, pdf: pd.DataFrame) -> list[str | None]:
         """One defect or none for each row of question, lang, class_name, stop_reason, raw_text."""
@@ -303,6 +314,22 @@ def fit(rows: pd.DataFrame) -> Defects:
         x += [(end_features(u[:c].rstrip()), 0.0) for c in cuts if c >= 4]
     # here 1 is sound, so that unseen ends count as broken off
     parts["truncated"] = _part([(f, 1.0 - y) for f, y in x], rng)
+    langs = rows["code"].tolist()
+    by_lang = {c: [k for k, x in enumerate(langs) if x == c and units[k]] for c in dict.fromkeys(langs)}
+    pairs = []
+    for c, own in by_lang.items():
+        others = [k for o, ks in by_lang.items() if o != c for k in ks]
+        for n, k in enumerate(own):
+            pairs.append((language_pair_features(c, [c] * len(units[k]), False), 0.0))
+            if others:  # a reply swapped with one of another language; in part, less and more than half
+                told = [langs[others[(7 * n + 3) % len(others)]]] * len(units[k])
+                pairs.append((language_pair_features(c, told, n % 5 == 0), 1.0))
+                m = max(1, len(told) // 2)
+                mixed = [c] * m + told[:1] * m
+                pairs.append((language_pair_features(c, mixed if n % 2 else mixed[::-1], n % 5 == 1), 0.0))
+                mixed = [c] * m + told[:1] * (m + 1)
+                pairs.append((language_pair_features(c, mixed if n % 2 else mixed[::-1], n % 5 == 1), 1.0))
+    parts["wrong_language"] = _part(pairs, rng)
     return Defects(sentences, languages, parts)
 
 

@@ -6,7 +6,7 @@ its source up to and including it divided by the source's target share.  The mix
 documents in order of finish time, up to the total budget.
 
 The running token counts are made in two steps: sums per source, pass and slot of the shuffle
-order (a bounded table), then running counts within a slot.  So no source, however large, has to be
+order (a row for ``PER_SLOT`` documents), then running counts within a slot.  So no source, however large, has to be
 counted through in one task.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sedge.session import cut, slices, spread
 
-#: Slots of the shuffle order per source and pass.
-SLOTS = 4096
+#: Documents a slot of an order, about; a source gets as many slots a pass as it needs.
+PER_SLOT = 50_000
 
 
 #: fixed value: how the public byte-level vocabularies split a text before merging
@@ -68,24 +69,41 @@ def mixture(counted: DataFrame, targets: DataFrame, budget: int | None = None, s
     by ``source_name``; documents without a source or of one that has no target are left out, and so are those of no
     tokens.  The shares of sources without any document are spread over the others in proportion.
     ``budget`` is the total of tokens; by default the most for which every source reaches its share within
-    its cap.  With a larger budget a source stops at its cap and the shares drift, which ``shares`` reports.
+    its cap.  With a larger budget a source stops at its cap, the others go on in proportion until the total is reached, and
+    the shares drift, which ``shares`` reports.
     """
     want = targets.where("target_share > 0").select(source_name(F.col("source")).alias("source"), "target_share", F.greatest("max_repeats", F.lit(1)).alias("repeats"))
     docs = cut(counted.where("tokens > 0").withColumn("source", source_name(F.col("source"))).join(F.broadcast(want), "source"))
-    held = docs.groupBy("source", "target_share", "repeats").agg(F.sum("tokens").alias("held"))  # one row a target
+    held = docs.groupBy("source", "target_share", "repeats").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("docs"))  # one row a target
     over = Window.partitionBy(F.lit(0))  # over one row a target
     most = F.min(F.col("held") * F.col("repeats") / F.col("target_share")).over(over)
     whole = F.sum("target_share").over(over)
-    plan = held.select("source", (F.col("target_share") / whole).alias("share"), (F.lit(float(budget)) if budget is not None else most * whole).alias("budget"))
+    plan = held.select("source", (F.col("target_share") / whole).alias("share"), (most * whole).alias("budget"), F.ceil(F.col("docs") / PER_SLOT).alias("slots"))
     queued = docs.join(F.broadcast(plan), "source").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     queued = queued.withColumn("order", F.xxhash64("doc", "pass", F.lit(seed)))
-    queued = queued.withColumn("slot", F.shiftrightunsigned("order", 64 - SLOTS.bit_length() + 1).cast("int")).select("doc", "source", "pass", "tokens", "share", "budget", "order", "slot")
+    # the order as a share of its range, 31 bits of it, times the number of slots
+    queued = queued.withColumn("order", F.col("order").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("slot", F.shiftright(F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(1 << 63))), 33) * F.col("slots"), 31))
+    queued = queued.select("doc", "source", "pass", "tokens", "share", "budget", "order", "slot")
     sums = queued.groupBy("source", "pass", "slot").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("source").orderBy("pass", "slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "pass", "slot", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "pass", "slot").orderBy(F.col("order"), "doc").rowsBetween(Window.unboundedPreceding, 0)
     placed = queued.join(offsets, ["source", "pass", "slot"]).withColumn("finish", (F.col("before") + F.sum("tokens").over(inside)) / F.col("share"))
-    return placed.where("finish <= budget").select("doc", "source", "pass", "tokens", "finish").orderBy("finish", "source", "doc")
+    kept = placed.where("finish <= budget") if budget is None else _truncated(cut(placed), budget)
+    return kept.select("doc", "source", "pass", "tokens", "finish").orderBy("finish", "source", "doc")
+
+
+def _truncated(placed: DataFrame, budget: int) -> DataFrame:
+    """The rows in order of ``finish`` (ties by source, document and pass) whose running total of tokens is at most ``budget``."""
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.max("finish").alias("last")).first()
+    slots = max(1, ceil(size.n / PER_SLOT))
+    rows = placed.withColumn("slot", F.least(F.floor(F.col("finish") / F.lit(size.last or 1.0) * slots), F.lit(slots - 1)))
+    sums = rows.groupBy("slot").agg(F.sum("tokens").alias("sum"))
+    # one row for PER_SLOT documents: summed up in one task
+    before = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("slot", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("total"))
+    inside = Window.partitionBy("slot").orderBy("finish", "source", "doc", "pass").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(offsets, "slot").withColumn("total", F.col("total") + F.sum("tokens").over(inside)).where(F.col("total") <= budget)
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
