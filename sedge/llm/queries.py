@@ -121,4 +121,22 @@ SQL = {
 select distinct c.chunk_id from chunks c join (select distinct accession_no, parsed_text from filings) f
 on f.accession_no = trim(c.accession_no, ' ' || chr(9))
 where len(regexp_extract_all(substr(f.parsed_text, greatest(c.char_start, 0) + 1, c.char_end - greatest(c.char_start, 0)), '[^ \t\r\n]+')) > 160""",
+    "p7_found": r"""
+with recursive n as (select key_a k from pair_labels where key_a is not null union select key_b from pair_labels where key_b is not null),
+e as (select key_a a, key_b b from pair_labels where same and key_a is not null and key_b is not null union select key_b, key_a from pair_labels where same and key_a is not null and key_b is not null),
+r as (select k, k as g from n union select r.k, e.b from r join e on e.a = r.g)
+select k as node_key, min(g) as group_key from r group by k""",
+    "p8_found": r"""
+with i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') t from eval_items), d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') t from documents where text is not null),
+iw as (select distinct item_id, array_to_string(t[k:k + 11], ' ') w from (select item_id, t, unnest(range(1, len(t) - 10)) k from i where len(t) >= 12)),
+dw as (select distinct doc_id, array_to_string(t[k:k + 11], ' ') w from (select doc_id, t, unnest(range(1, len(t) - 10)) k from d where len(t) >= 12))
+select distinct doc_id, item_id from dw join iw using (w)""",
+    "p10_found": r"""
+with d as (select distinct doc_id, regexp_extract_all(text, '[^ \t\r\n]+') t from documents where doc_id is not null and text is not null),
+w as (select doc_id, k, array_to_string(t[k:k + 49], ' ') s from (select doc_id, t, unnest(range(1, len(t) - 48)) k from d where len(t) >= 50)),
+h as (select s from w group by s having min(doc_id) <> max(doc_id)),
+c as (select distinct doc_id, k from w join h using (s)),
+o as (select doc_id, k, case when k - lag(k) over (partition by doc_id order by k) <= 50 then 0 else 1 end new from c),
+g as (select doc_id, k, sum(new) over (partition by doc_id order by k rows unbounded preceding) run from o)
+select doc_id, (min(k) - 1)::int as first_word, (max(k) + 48)::int as last_word from g group by doc_id, run""",
 }

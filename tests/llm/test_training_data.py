@@ -57,6 +57,41 @@ def test_nearest_searches_until_no_vector_is_open(spark):
     assert len(want & set(zip(got.id_a, got.id_b))) / len(want) > 0.95
 
 
+def test_visits_hold_the_wanted_chance():
+    rng = np.random.default_rng(7)
+    project = rng.standard_normal((24, 7)).astype(np.float32)
+    x = rng.standard_normal((300, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = neighbours.Tree(project, x @ project)
+    d = np.full(300, 0.5)
+    row, leaf = tree.visits(x, d, 0.2)
+    own = tree.leaf(x)
+    assert not (own[row] == leaf).any() and len(set(zip(row.tolist(), leaf.tolist()))) == len(row)
+    hit = total = 0
+    for k in range(300):  # neighbours at just that distance lie in the visited leaves as often as promised
+        g = rng.standard_normal((40, 24)).astype(np.float32)
+        near = tree.leaf(x[k] + 0.5 * g / np.linalg.norm(g, axis=1, keepdims=True))
+        held = {own[k], *leaf[row == k].tolist()}
+        hit, total = hit + sum(int(n) in held for n in near), total + 40
+    assert 0.74 < hit / total < 0.95
+    far, _ = tree.visits(x, np.full(300, 1e6), 1e-9)
+    assert len(far) == 300 * 127  # as many leaves as the test asks for, up to all
+
+
+def test_no_jobs_before_an_action(spark):
+    from sedge.operators.skew import salted_join
+    from sedge.session import spread
+
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("count-jobs", "")
+    df = spark.range(1000).selectExpr("id % 7 as k", "id as v")
+    wide = df.groupBy("k").count()
+    salted_join(spread(wide), df.select("k").distinct().selectExpr("k", "k * 2 as w"), "k")
+    assert not status.getJobIdsForGroup("count-jobs")
+    assert salted_join(df, wide, "k").count() == 1000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_nearest_copies_and_bad_vectors(spark):
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.01]), ("z", [0.0, 0.0]), ("n", None), ("e", [float("nan"), 1.0]), ("a", [1.0, 0.0]), (None, [1.0, 1.0]), ("h", [1.0, None])]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
@@ -139,7 +174,10 @@ def test_names(spark):
     people = ["Deborah T. Mevoletris", "MEVOLETRIS, Debbie", "Deborah Meovletris", "D. T. Mevoletris", "Robert Mevoletris", "Ｒｏｂｅｒｔ Mevoletris", "Susan Nokezanol", None, "", "!!"]
     firms = ["Sofobabarn Robotics, LLC", "Robotics Sofobabarn", "Sofobabarn  Semiconductor, Inc.", "SOFOBABARN SEMICONDUCTOR INC"]
     more = [f"{b} {s} Inc." for b in ("Alphatron", "Betamixor", "Gammavent", "Deltapolis", "Epsilorta") for s in ("Robotics", "Semiconductor")]
-    rows = [(100 + k, "Person", n) for k, n in enumerate(people)] + [(200 + k, "Organization", n) for k, n in enumerate(firms + more)] + [(100, "Person", people[0])]
+    # short forms are learned: Debbie stands before rare family names where Deborah does
+    others = [f"{g} {f}" for f in ("Bavokilun", "Cirutapes", "Dovanegik", "Fisopalet") for g in ("Deborah", "Debbie")] + [f"{g} {f}" for f in ("Gunatorev", "Halisemok", "Jopetavir", "Kunelosat") for g in ("Robert", "Susan")] + ["Deborah Lotavires"]
+    others += [f"{g} {a}{b}ivor" for a in ("Mup", "Nec", "Pag", "Ris") for b in ("atol", "obek", "udis") for g in ("Susan",)]
+    rows = [(100 + k, "Person", n) for k, n in enumerate(people)] + [(300 + k, "Person", n) for k, n in enumerate(others)] + [(200 + k, "Organization", n) for k, n in enumerate(firms + more)] + [(100, "Person", people[0])]
     nodes = spark.createDataFrame(rows, "node_id long, label string, name string")
     entries = spark.createDataFrame([(1, "Sofobabarn Semiconductor Inc.")], "entry_id long, name string")
     linked = names.linked_names(nodes, entries)
@@ -173,7 +211,7 @@ def test_refusals_and_languages_of_whole_replies(model, monkeypatch):
             return ["de" if "der" in u else "en" for u in units]
 
     monkeypatch.setattr(defects.Linear, "rows", staticmethod(lambda x: x))
-    d = defects.Defects(model, Languages(), {k: Part() for k in ("empty", "question_copy", "truncated")} | {"refusal": Part("2no comment")})
+    d = defects.Defects(model, Languages(), {k: Part() for k in ("empty", "question_copy", "truncated")} | {"refusal": Part("2no comment"), "wrong_language": Part("mostTrue")})
     late = " ".join(f"Sales rose in part {k}." for k in range(12)) + " We give no comment here."
     long = "The firm sold " + "many more and " * 20 + "so no comment on this."
     listed = "The sales were:\n\n" + "\n".join(f"- der Umsatz {k} stieg" for k in range(5))
@@ -215,7 +253,8 @@ def test_wrong_language():
     de = [f"Der Umsatz der Gesellschaft betrug {k} Mio. Euro und lag damit weit über dem Vorjahr." for k in range(60)]
     en = [f"The revenue of the company was {k} million and was well above the year before." for k in range(60)]
     lang = defects.Languages.fit(de + en, ["de"] * 60 + ["en"] * 60)
-    d = defects.Defects(sentences.train([]), lang, {})
+    pairs = [(defects.language_pair_features("en", ["en"] * a + ["de"] * b, False), float(b > a)) for a in range(5) for b in range(5) if a + b]
+    d = defects.Defects(sentences.train([]), lang, {"wrong_language": defects._part(pairs * 4, np.random.default_rng(1))})
     assert d.wrong_language("What was it?", "en", de[:2]) and not d.wrong_language("What was it?", "en", en[:2] + de[:1])
     assert not d.wrong_language("What was it? Please answer in German.", "en", de[:2]) and d.wrong_language("What was it? Please answer in German.", "en", en[:2])
     assert not d.wrong_language("", None, []) and defects.lang_code("DE-xx") == "de" and defects.lang_code("??") is None
@@ -261,6 +300,9 @@ def test_leaks(spark):
     got = leaks.leaked_items(spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, passage string"), items)
     rows = {r.doc_id: r for r in got.collect()}
     assert {k for k, r in rows.items() if r.run >= 12} == {1, 2, 7} and set(rows) == {1, 2, 6, 7}
+    other = spark.createDataFrame([("q1", passage)] + [(f"n{k}", f"{k} unrelated passage of its own with more than twelve tokens in it as others {k} {k + 1} {k * 7}") for k in range(40)], "item_id string, passage string")
+    blocks = leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), other, item_chars=300)
+    assert {(r.doc_id, r.item_id) for r in blocks.collect() if r.run >= 12} == {(1, "q1"), (2, "q1"), (7, "q1")}
     assert leaks.leaked_items(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
     assert leaks.leaked_items(spark.createDataFrame([(1, passage)], "doc_id long, text string"), items.where("false")).count() == 0
 
@@ -289,6 +331,11 @@ def test_mixture(spark):
     assert mixing.mixture(counted.where("false"), targets).count() == 0
     few = mixing.mixture(counted, targets, budget=1000).agg({"tokens": "sum"}).first()[0]
     assert 800 <= few <= 1000
+    held = {r.source: r.tokens for r in over}
+    full = held["big"] + held["small"]
+    # big ends at its cap, small goes on until the total is reached
+    more = mixing.mixture(counted, targets, budget=full - 2000).agg({"tokens": "sum"}).first()[0]
+    assert full - 2050 <= more <= full - 2000
 
 
 def test_token_counts(spark):
@@ -334,9 +381,24 @@ def test_spans_match_brute_force(spark, n):
     df = spark.createDataFrame(rows, "doc_id long, text string, first_word int")
     got = {tuple(r) for r in spans.shared_spans(df, min_words=n).collect()}
     assert got == _brute_spans(docs, n)
+    assert {tuple(r) for r in spans.shared_spans(df, min_words=n, group=1).collect()} == got
     assert spans.shared_spans(df.where("false"), min_words=n).count() == 0
 
 
+def test_subtrees_of_many_groups_in_one_array():
+    rng = random.Random(9)
+    for _ in range(30):
+        words = [np.array([rng.randrange(3) for _ in range(rng.randrange(4, 20))], dtype=np.uint64) for _ in range(6)]
+        owner = np.array([k % 4 for k in range(6)])
+        run, leaf = spans.shared_leaves(owner, words, 4)
+        grams = {}
+        for k, w in enumerate(words):
+            for i in range(len(w) - 3):
+                grams.setdefault(tuple(w[i : i + 4].tolist()), set()).add((k, i))
+        want = {x for held in grams.values() if len({owner[k] for k, _ in held}) > 1 for x in held}
+        assert set(zip(run.tolist(), leaf.tolist())) == want and len(run) == len(want)
+
+
 def test_window_fingerprints():
     h = np.arange(1, 40, dtype=np.uint64)
     for length in (1, 2, 7, 10, 39, 40):
