@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ def node_key(label: Column, *parts: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """A name without dots and apostrophes, ``&`` as ``and``, marks as blanks, and without legal forms at its end; its first word always stays."""
-    s = F.regexp_replace(F.lower(c), r"[.'’]", "")
-    s = F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " ")
+    s = F.regexp_replace(F.lower(unescape_markdown(c)), r"[.'’]", "")
+    s = F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")
     return F.regexp_replace(F.trim(s), rf"^([^ ]+(?: [^ ]+)*?)(?: (?:{LEGAL_FORMS}))+$", "$1")
 
 
@@ -158,32 +159,68 @@ def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-_ALIKE = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "‑": "-", " ": " "})
+# fixed values: quotes, dashes and blanks that read alike
+ALIKE = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "‑": "-", "\u00a0": " "}
+_PIECE = re.compile(r"(?P<blank>\s+)|\\(?P<mark>[!-/:-@\[-`{-~])|(?P<plain>[!-\[\]-~]+)|(?P<other>.)", re.S)
 
 
-def _even(text: str) -> tuple[str, list[int]]:
-    out, origin = [], []
-    for k, c in enumerate(text):
-        for d in c if c < "\x80" else unicodedata.normalize("NFKC", c).translate(_ALIKE):
-            if d.isspace():
-                if out and out[-1] != " ":
-                    out.append(" "), origin.append(k)
-            else:
-                out.append(d), origin.append(k)
-    return "".join(out), origin
+class Readable:
+    """A text as it reads: blanks as one, quotes, dashes and widths alike, marks without their markdown escapes.
 
+    The text is cut into pieces (a run of blanks, an escaped mark, a run of plain ASCII, any other character), each with its reading; places in the
+    reading are brought back to the text by a binary search among the pieces' ends.
+    """
 
-def find_span(span: str, text: str) -> tuple[int, int] | None:
-    """Offsets in ``text`` of the last place that reads as ``span`` but for quotes, dashes, widths and blanks."""
-    want, (even, origin) = _even(span)[0].strip(), _even(text)
-    at = even.rfind(want) if want else -1
-    return None if at < 0 else (origin[at], origin[at + len(want) - 1] + 1)
+    def __init__(self, text: str):
+        starts, sizes, stops, readings = [], [], [], []
+        for m in _PIECE.finditer(text):
+            kind = m.lastgroup
+            own = " " if kind == "blank" else m.group(kind)
+            if kind == "other":
+                own = "".join(ALIKE.get(c, c) for c in unicodedata.normalize("NFKC", ALIKE.get(own, own)))
+            starts.append(m.start()), stops.append(m.end()), sizes.append(len(own)), readings.append(own)
+        self.reading = "".join(readings)
+        self.ends = np.cumsum(sizes) if sizes else np.zeros(0, dtype=np.int64)
+        self.sizes, self.starts, self.stops = sizes, starts, stops
 
+    def _place(self, k: int) -> tuple[int, int]:
+        """(start, end) in the text of the character ``k`` of the reading."""
+        piece = int(np.searchsorted(self.ends, k, "right"))
+        inner = k - (int(self.ends[piece]) - self.sizes[piece])
+        whole = self.stops[piece] - self.starts[piece] == self.sizes[piece]
+        return (self.starts[piece] + inner, self.starts[piece] + inner + 1) if whole else (self.starts[piece], self.stops[piece])
 
-@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-def find_span_in(span: pd.Series, text: pd.Series) -> pd.DataFrame:
-    found = [(None if s is None or t is None else find_span(s, t)) or (None, None) for s, t in zip(span, text)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+    def find(self, span: str, last: bool = False) -> tuple[int, int] | None:
+        """Offsets in the text of the first (last) place that reads as ``span``; null for a blank span and where there is none."""
+        want = Readable(span).reading.strip()
+        at = (self.reading.rfind(want) if last else self.reading.find(want)) if want else -1
+        return None if at < 0 else (self._place(at)[0], self._place(at + len(want) - 1)[1])
+
+
+def find_span(span: str, text: str, last: bool = False) -> tuple[int, int] | None:
+    """Offsets in ``text`` of the first (last) place that reads as ``span``."""
+    return Readable(text).find(span, last)
+
+
+def _span_udf(last: bool):
+    @F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    def find(span: pd.Series, text: pd.Series) -> pd.DataFrame:
+        held: dict[str, Readable] = {}
+
+        def one(s, t):
+            if s is None or t is None:
+                return None
+            if t not in held:  # the spans of one text mostly stand together
+                held.clear()
+                held[t] = Readable(t)
+            return held[t].find(s, last)
+
+        return pd.DataFrame([one(s, t) or (None, None) for s, t in zip(span, text)], columns=["start", "end"]).astype("Int32")
+
+    return find
+
+
+find_span_in, find_last_span_in = _span_udf(False), _span_udf(True)
 
 
 _NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?")

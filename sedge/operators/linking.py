@@ -47,22 +47,23 @@ def _alike(cutoff: float):
     the letters in common bound the third.
     """
     letters = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
+    other = len(letters)  # all letters of other scripts together: the bound only gets wider
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = (pdf.loc[pdf["block"] == b, "k"].to_numpy() for b in key)
         both = [*one, *two]
         words = [sorted(set(k.split())) for k in both]
         vocabulary = {w: n for n, w in enumerate({w for ws in words for w in ws})}
-        bag, has = np.zeros((len(both), len(letters)), dtype=np.int16), np.zeros((len(both), len(vocabulary)), dtype=np.float32)
+        bag, has = np.zeros((len(both), other + 1), dtype=np.int16), np.zeros((len(both), len(vocabulary)), dtype=np.float32)
         for n, ws in enumerate(words):
             has[n, [vocabulary[w] for w in ws]] = 1
             for c in " ".join(ws):
-                bag[n, letters[c]] += 1
+                bag[n, letters.get(c, other)] += 1
         size, m = bag.sum(axis=1).astype(np.float32), len(one)
         weight = np.array([len(w) + 1 for w in vocabulary], dtype=np.float32)
         common = np.maximum((has[:m] * weight) @ has[m:].T - 1, 0)  # characters of the common words
         shared = np.zeros(common.shape, dtype=np.int16)
-        for c in range(len(letters)):
+        for c in range(other + 1):
             shared += np.minimum(bag[:m, None, c], bag[None, m:, c])
         x, y, least = size[:m, None], size[None, m:], cutoff / 100 - 1e-6
         may = (2 * shared >= least * (x + y)) | (common > 0) & (2 * common >= least * (common + np.minimum(x, y)))

@@ -149,7 +149,7 @@ def pair_verdicts(spark, d):
     return g.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-_MK = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(name), '[.''’]', '', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{T.LEGAL_FORMS}))+$', '\\1')"
+_MK = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '\\\\([!-/:-@\\[-`{{-~])', '\\1', 'g')), '[.''’]', '', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{T.LEGAL_FORMS}))+$', '\\1')"
 
 
 @book.query(f"select {_MK} as key, min(node_id) as canonical, count(*) as members from resolve_nodes where label = 'Organization' and name is not null group by 1 having count(*) > 1")

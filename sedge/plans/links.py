@@ -14,7 +14,7 @@ from sedge.session import table
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
-_MK = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(name), '[.''’]', '', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{T.LEGAL_FORMS}))+$', '\\1')"
+_MK = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '\\\\([!-/:-@\\[-`{{-~])', '\\1', 'g')), '[.''’]', '', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{T.LEGAL_FORMS}))+$', '\\1')"
 
 
 @book.query(

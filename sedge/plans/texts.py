@@ -12,7 +12,7 @@ from sedge.session import spread, table
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 _LF = T.LEGAL_FORMS
-_KEY = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(name), '[.''’]', '', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{_LF}))+$', '\\1')"
+_KEY = f"regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '\\\\([!-/:-@\\[-`{{-~])', '\\1', 'g')), '[.''’]', '', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^([^ ]+(?: [^ ]+)*?)(?: (?:{_LF}))+$', '\\1')"
 _IDS = r"list_distinct(list_filter(flatten(list_transform(regexp_extract_all(text, '\[([^\[\]\n]*)\]', 1), lambda x: list_transform(regexp_split_to_array(x, '[,;]'), lambda y: trim(y)))), lambda x: x <> ''))"
 
 

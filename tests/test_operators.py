@@ -121,7 +121,9 @@ def test_text_functions(spark):
     ).first()
     assert list(ask) == ["a%3Ab%7Cc%25", "x:0007", "x:12345", "a:b", ["a", "b", "c"], "x y.", "not_found", "no_status", "a*b", "sae", "the **Revenue** ro", ["a b", "b c"], "gross x"]
     assert T.ratio("", "") == 100 and round(T.ratio("abcd", "abxd"), 2) == 75 and T.token_set_ratio("a b", "b a c") == 100 and T.token_set_ratio("", "a") == 0
-    assert T.find_span('the  "big" one', "see the “big” one now, the “big” one") == (23, 36) and T.find_span("x", "") is None
+    said = "see the “big” one now, the “big” one"
+    assert T.find_span('the  "big" one', said) == (4, 17) and T.find_span('the  "big" one', said, last=True) == (23, 36) and T.find_span("x", "") is None
+    assert T.find_span("a*b ﬁn", r"x a\*b" + "\n\n fin") == (2, 12) and T.find_span("ig", said) == (10, 12) and T.find_span(" ", said) is None
     assert T.changed_number("cost $1,000.50 now") == "cost $1,500.75 now" and T.changed_number("none") is None
 
 
