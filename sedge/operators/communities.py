@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.operators.resolving import smallest_cut
 from sedge.session import cut
 
 #: Largest group that is separated exactly; greater ones are held back.
@@ -51,39 +50,8 @@ def ranked_passages(labels: DataFrame, edges: DataFrame, cites: DataFrame) -> Da
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "chunk")))
 
 
-def smallest_cut(same: list[tuple], against: list[tuple]) -> tuple[int, list[tuple], bool]:
-    """(links cut, partition, whether it is unique) separating every ``against`` pair with the fewest ``same`` links cut; by search over links to cut."""
-    nodes = sorted({x for p in same + against for x in p})
-
-    def parts(kept: list[tuple]) -> dict:
-        root = {n: n for n in nodes}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in kept:
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        return {n: find(n) for n in nodes}
-
-    links = sorted(set(same))
-    for size in range(len(links) + 1):
-        found = set()
-        for gone in combinations(range(len(links)), size):
-            p = parts([x for k, x in enumerate(links) if k not in gone])
-            if all(p[a] != p[b] for a, b in against):
-                found.add(tuple(p[n] for n in nodes))
-        if found:
-            return size, list(zip(nodes, min(found))), len(found) == 1
-    return 0, [], False
-
-
 def separate(pairs: DataFrame, group: str) -> DataFrame:
-    """(group, state, links_cut): groups without contradiction are ``clean``, those over EXACT keys ``held_back``, the others ``cut``, or ``tied`` if two smallest cuts differ.
+    """(group, state, links_cut): groups without contradiction are ``clean``, those over EXACT keys ``held_back``, the others ``cut``, or ``tied`` if several smallest cuts differ.
 
     pairs: group, key_a, key_b, same.  Only contradicting groups of bounded size are gathered.
     """
@@ -94,8 +62,8 @@ def separate(pairs: DataFrame, group: str) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         same = [tuple(sorted(x)) for x in pdf.loc[pdf.same, ["key_a", "key_b"]].itertuples(index=False)]
         against = [tuple(sorted(x)) for x in pdf.loc[~pdf.same, ["key_a", "key_b"]].itertuples(index=False)]
-        n, _, one = smallest_cut([x for x in same if x not in against], against)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "state": ["cut" if one else "tied"], "links_cut": [n]})
+        n, _, ways, _ = smallest_cut([x for x in same if x not in against], against)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "state": ["cut" if ways == 1 else "tied"], "links_cut": [n]})
 
     hard = pairs.select(group, "key_a", "key_b", "same").distinct().join(state.where(f"against and keys <= {EXACT}").select(group), group, "left_semi")
     return easy.unionByName(hard.groupBy(group).applyInPandas(solve, f"{group} {dict(pairs.dtypes)[group]}, state string, links_cut int"))

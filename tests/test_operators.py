@@ -247,7 +247,7 @@ def test_smallest_cut_matches_brute_force():
         pairs = list(itertools.combinations(keys, 2))
         same = rng.sample(pairs, 6)
         against = [p for p in rng.sample(pairs, 3) if p not in same]
-        n, parts, _ = C.smallest_cut(same, against)
+        n, parts, _, _ = C.smallest_cut(same, against)
         where = dict(parts)
         assert all(where[a] != where[b] for a, b in against) and sum(where[a] != where[b] for a, b in same) <= n
 
