@@ -10,7 +10,8 @@ from sedge.operators import extraction as X
 from sedge.operators import graph as G
 from sedge.operators import questions as Q
 from sedge.operators.components import components
-from sedge.operators.store import current_filings
+from sedge.operators.store import chunk_texts, current_filings
+from sedge.plans.store import TEXTS
 from sedge.session import table
 
 book = Book()
@@ -20,20 +21,21 @@ _CONF = "lower(confidence) in ('stated', 'implied', 'uncertain')"
 
 
 def _replies(spark, d):
-    """Evidence rows as the replies of an extraction run: one proposed node each, and an edge between the first two of a chunk."""
-    e = table(spark, d, "evidence").where("chunk_id is not null").select("chunk_id", "evidence_id", "label", "node_key", "span", "confidence").distinct()
+    """Evidence rows as the replies of an extraction run over the stored chunks: one proposed node each, and an edge between the first two of a chunk."""
+    e = table(spark, d, "evidence").where("chunk_id is not null").withColumn("chunk_id", F.btrim("chunk_id", F.lit(" \t"))).select("chunk_id", "evidence_id", "label", "node_key", "span", "confidence").distinct()
     node = F.struct(F.col("node_key").alias("id"), "label", F.col("node_key").alias("name"), F.col("evidence_id").cast("string").alias("value"), F.col("span").alias("evidence_span"), "confidence")
-    g = e.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", node.alias("n")))).alias("rows"), F.concat_ws(" ", F.sort_array(F.collect_list("span"))).alias("text"))
+    g = e.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", node.alias("n")))).alias("rows"))
+    g = g.join(chunk_texts(table(spark, d, "chunks"), table(spark, d, "filings")).select("chunk_id", "text"), "chunk_id", "left")
     nodes = F.transform("rows", lambda r: r["n"])
     pair = F.struct(F.get(nodes, 0)["id"].alias("start"), F.lit("AFFECTS").alias("type"), F.get(nodes, 1)["id"].alias("end"), F.get(nodes, 0)["evidence_span"].alias("evidence_span"), F.get(nodes, 0)["confidence"].alias("confidence"))
     triples = F.when(F.size("rows") > 1, F.array(pair)).otherwise(F.array().cast("array<struct<start:string,type:string,end:string,evidence_span:string,confidence:string>>"))
     return X.parsed(g.select("chunk_id", "text", F.to_json(F.struct(nodes.alias("nodes"), triples.alias("triples"))).alias("reply")))
 
 
-_NODES = f"""e as (select distinct chunk_id, evidence_id, label, node_key, span, confidence from evidence where chunk_id is not null),
+_NODES = f"""{TEXTS}, e as (select distinct trim(chunk_id, ' ' || chr(9)) as chunk_id, evidence_id, label, node_key, span, confidence from evidence where chunk_id is not null),
 n as (select *, count(*) over (partition by chunk_id, node_key) as twice, row_number() over (partition by chunk_id order by evidence_id, node_key, label, span) as pos from e),
-c as (select *, case when label not in ('Product', 'Segment', 'RiskFactor', 'MetricValue') or label is null then 'label' when node_key is null or trim(node_key) = '' then 'id' when twice > 1 then 'duplicate_id'
-when confidence is null or not {_CONF} then 'confidence' when span is null or trim(span) = '' then 'span' end as reason from n)"""
+c as (select n.*, case when label not in ('Product', 'Segment', 'RiskFactor', 'MetricValue') or label is null then 'label' when node_key is null or trim(node_key) = '' then 'id' when twice > 1 then 'duplicate_id'
+when confidence is null or not {_CONF} then 'confidence' when span is null or trim(span) = '' or coalesce(not contains(ct.text, span), true) then 'span' end as reason from n left join ct using (chunk_id))"""
 
 
 @book.query(f"with {_NODES} select coalesce(reason, 'ok') as reason, count(*) as n from c group by 1")
