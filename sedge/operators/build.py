@@ -144,7 +144,7 @@ def _rules(rows: DataFrame, item: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def _wrong(kind: Column, value: Column) -> Column:
-    return (kind == "number") & value.cast("double").isNull()
+    return (kind == "number") & value.try_cast("double").isNull()
 
 
 def batch_violations(nodes: DataFrame, edges: DataFrame, known_chunks: DataFrame, known_nodes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def batch_violations(nodes: DataFrame, edges: DataFrame, known_chunks: DataFrame
     types = F.col("type").isin(*EDGES)
     e_rules |= {
         "unknown_edge_type": ~types | F.col("type").isNull(), "bad_reference": _blank("start") | _blank("end"), "missing_evidence": types & ~F.col("type").isin("FILED", "COVERS_PERIOD", "PART_OF", "EVIDENCED_BY", "IN_COMMUNITY", "PARENT_OF") & (F.size("chunks") <= 0),
-        "missing_role": F.col("type").isin(*WITH_ROLE) & _blank(F.col("props")["role"]), "stake": (F.col("type") == "OWNS") & ~F.coalesce(F.col("props")["stake"].cast("double").between(0, 1), F.col("props")["stake"].isNull()),
+        "missing_role": F.col("type").isin(*WITH_ROLE) & _blank(F.col("props")["role"]), "stake": (F.col("type") == "OWNS") & ~F.coalesce(F.col("props")["stake"].try_cast("double").between(0, 1), F.col("props")["stake"].isNull()),
     }
     of_edges = _rules(edges, "item", e_rules)
     of_edges = of_edges.withColumn("rule", F.when(F.col("rule") == "missing_role", "missing_property").when(F.col("rule") == "stake", "disallowed_value").otherwise(F.col("rule")))

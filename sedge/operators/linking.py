@@ -34,8 +34,8 @@ def resolution(printed: Column, unit: Column) -> Column:
 
 def agree(a: Column, unit_a: Column, b: Column, unit_b: Column) -> Column:
     """Whether two printed numbers may be the same: they differ by at most half a step of the coarser one; null for unknown units or no numbers."""
-    x = F.replace(a, F.lit(",")).cast("decimal(20,6)") * factor(unit_a)
-    y = F.replace(b, F.lit(",")).cast("decimal(20,6)") * factor(unit_b)
+    x = F.replace(a, F.lit(",")).try_cast("decimal(20,6)") * factor(unit_a)
+    y = F.replace(b, F.lit(",")).try_cast("decimal(20,6)") * factor(unit_b)
     step = F.greatest(resolution(F.replace(a, F.lit(",")), unit_a), resolution(F.replace(b, F.lit(",")), unit_b))
     return F.abs(x - y) * 2 <= step
 

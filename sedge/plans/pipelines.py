@@ -55,7 +55,7 @@ def question_filters(spark, d):
     f = current_filings(table(spark, d, "filings"), ["cik", "form_type", "fiscal_period", "report_date"])
     f = f.join(F.broadcast(table(spark, d, "filer_entries").select("cik", "ticker")), "cik").drop("cik")
     a = table(spark, d, "answers").where("question is not null").select("question_id", "question").distinct()
-    return Q.question_filters(a.groupBy("question_id").agg(F.min("question").alias("question")), f, "question_id", "question")
+    return Q.question_filters(a.groupBy("question_id").agg(F.min("question").alias("question")), f, "question_id", "question", table(spark, d, "filer_entries").select("ticker", "name"))
 
 
 @book.query(

@@ -247,9 +247,10 @@ def test_smallest_cut_matches_brute_force():
         pairs = list(itertools.combinations(keys, 2))
         same = rng.sample(pairs, 6)
         against = [p for p in rng.sample(pairs, 3) if p not in same]
-        n, parts, _, _ = C.smallest_cut(same, against)
+        n, parts, ways, tied = C.smallest_cut(same, against)
         where = dict(parts)
-        assert all(where[a] != where[b] for a, b in against) and sum(where[a] != where[b] for a, b in same) <= n
+        lost = sum(where[a] != where[b] for a, b in same)  # several smallest cuts: their common refinement
+        assert all(where[a] != where[b] for a, b in against) and (lost == n if ways == 1 else lost >= n) and (ways > 1 or not tied)
 
         def apart(gone):
             near = {k: {k} for k in keys}
@@ -281,7 +282,12 @@ def test_question_filters(spark):
     )
     ask = {"one": "What did ABCD report in Q1 2024?", "all": "What was reported?", "year": "Compare fiscal 2023 for WXYZ", "latest": "Latest 10-K of ABCD and WXYZ", "lost": "ABCD in FY1999", "list": "ABCD in Q1 2024 and Q2 2024", "q": "reports of FY2024 Q2"}
     got = {r.k: r.accessions for r in Q.question_filters(spark.createDataFrame(list(ask.items()), "k string, q string"), f, "k", "q").collect()}
-    assert got == {"one": ["a2"], "all": None, "year": ["b1"], "latest": ["a1", "b1"], "lost": ["a1", "a2"], "list": ["a1", "a2"], "q": ["a1", "a2", "b2"]}
+    assert got == {"one": ["a2"], "all": None, "year": ["b1"], "latest": ["a1", "b1"], "lost": ["a1", "a2"], "list": ["a2"], "q": ["a1", "a2", "b2"]}
+    firms = spark.createDataFrame([("ABCD", "Abacus Data Inc."), ("WXYZ", "Wexford, LLC")], "ticker string, name string")
+    ask = {"name": "How did Abacus Data do in the second quarter of 2024?", "both": "Wexford and ABCD in fiscal 2023", "range": "WXYZ from fiscal 2023 to fiscal 2025", "q4": "Wexford in Q4 of fiscal 2023", "form": "quarterly report of Wexford", "spoken": "second quarter of fiscal year 2024 at Wexford"}
+    got = {r.k: r.accessions for r in Q.question_filters(spark.createDataFrame(list(ask.items()), "k string, q string"), f, "k", "q", firms).collect()}
+    assert got == {"name": ["a1", "a2"], "both": ["a1", "b1"], "range": ["b1", "b2"], "q4": ["b1", "b2"], "form": ["b2"], "spoken": ["b2"]}
+    assert Q.question_filters(spark.createDataFrame([], "k string, q string"), f, "k", "q", firms).count() == 0
 
 
 def test_guard():
@@ -292,6 +298,23 @@ def test_guard():
     assert Q.guard("MATCH (n:Nope) RETURN n", labels, types) == "unknown name Nope" and Q.guard("MATCH (a)-[:ODD]->(b) RETURN a", labels, types) == "unknown name ODD"
     assert Q.guard("", labels, types) == "empty" and Q.guard("MATCH (n) RETURN n; MATCH (m) RETURN m", labels, types) == "several statements" and Q.guard("RETURN 1", labels, types) == "no match or return"
     assert Q.guard("MATCH (n RETURN n", labels, types) == "unbalanced brackets"
+    ends = {"MEASURES": (("MetricValue",), ("Segment", "Product")), "AFFECTS": (("RiskFactor",), ("Product",))}
+    known = {"MetricValue", "Segment", "Product", "RiskFactor"}
+    assert Q.guard("MATCH (m:MetricValue)-[:MEASURES]->(s:Segment) RETURN m.set AS chunk_ids", known, ends) is None
+    assert Q.guard("MATCH (m:MetricValue)<-[:MEASURES]-(s:Segment) RETURN m", known, ends) == "direction of MEASURES"
+    assert Q.guard("MATCH (s:Segment)-[r:MEASURES]->(m) RETURN m", known, ends) == "direction of MEASURES"
+    assert Q.guard("MATCH (m:MetricValue) MATCH (p:Product)-[:AFFECTS]-(r:RiskFactor), (m)-[:MEASURES]->(p) RETURN p", known, ends) is None
+    assert Q.guard("MATCH (p:Product) MATCH (p)-[:AFFECTS]->(r:RiskFactor) RETURN p", known, ends) == "direction of AFFECTS"
+    assert Q.guard("MATCH (n) CALL db.labels() RETURN n", known, ends) == "procedure call" and Q.guard("MATCH (n) CALL { MATCH (m) RETURN m } RETURN n", known, ends) is None
+    assert Q.guard("LOAD CSV FROM 'x' AS y MATCH (n) RETURN n", known, ends) == "keyword load"
+
+
+def test_bounded_result(spark):
+    df = spark.range(5).selectExpr("array(cast(id as string)) as chunk_ids")
+    rows, cut = Q.bounded_result(df, 3)
+    assert rows.count() == 3 and cut and not Q.bounded_result(df, 5)[1]
+    with pytest.raises(ValueError):
+        Q.bounded_result(spark.range(2))
 
 
 def test_pages(spark):
