@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.operators.skew import salted_join
+from sedge.session import cut
+
 # fixed values: how firmly a passage supports an item, best first
 CONFIDENCES = ("stated", "implied", "uncertain")
 
@@ -63,12 +66,18 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def expand(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(anchor, node, hop) for every node within ``hops`` steps, with the least number of steps; anchors: anchor; edges: node, other, both directions."""
-    seen = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop"))
+    """(anchor, node, hop) for every node within ``hops`` steps, with the least number of steps; anchors: anchor; edges: node, other, both directions.
+
+    Edges are made distinct once; the rows of hub nodes are salted.
+    """
+    seen = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct()
     rim = seen
+    edges = edges.select("node", "other").distinct()
+    edges = cut(edges) if hops > 1 else edges
     for k in range(1, hops + 1):
-        step = rim.join(edges.select("node", "other").distinct(), "node").select("anchor", F.col("other").alias("node"), F.lit(k).alias("hop")).distinct()
+        step = salted_join(edges, rim, "node").select("anchor", F.col("other").alias("node"), F.lit(k).alias("hop")).distinct()
         rim = step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti")
+        rim = cut(rim) if k < hops else rim  # read again for the next hop, and for what has been seen
         seen = seen.unionByName(rim)
     return seen
 

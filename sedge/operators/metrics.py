@@ -69,26 +69,3 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranked = given.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("__rx", "__ry") / F.nullif(F.stddev_pop("__rx") * F.stddev_pop("__ry"), F.lit(0.0))).alias("rho"))
     return out.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
-
-
-def resample_index(seed: int, key: Column, b: Column, i: Column, n: Column) -> Column:
-    """Index in 0..n-1 of draw ``i`` of resample ``b``: the first 32 bits of a SHA-256, so that any engine can repeat it."""
-    text = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), b.cast("string"), i.cast("string"))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % n
-
-
-def bootstrap(df: DataFrame, by: str, order: str, value: str, weight: str | None = None, resamples: int = 200, seed: int = 7) -> DataFrame:
-    """(by, n, estimate, low, high, kept): the mean of ``value`` (or the ratio of sums to ``weight``) with a percentile interval.
-
-    Resamples whose weights sum to 0 are dropped and counted out of ``kept``.  Null values take no part.  Rows are numbered in each group by
-    ``order``, which has to be unique; draws are an equi-join on that number.
-    """
-    top = F.col(value).cast("double")
-    given = df.where(F.col(value).isNotNull()).select(by, F.col(order).alias("__o"), top.alias("__v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
-    given = given.withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy("__o")) - 1)
-    sizes = given.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.sum("__v") / F.nullif(F.sum("__w"), F.lit(0.0))).alias("estimate"))
-    draws = given.join(sizes.select(by, "n"), by).select(by, "n", F.col("__i").alias("__k")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    picked = draws.withColumn("__i", resample_index(seed, F.col(by), F.col("__b"), F.col("__k"), F.col("n"))).join(given.select(by, "__i", "__v", "__w"), [by, "__i"])
-    each = picked.groupBy(by, "__b").agg((F.sum("__v") / F.nullif(F.sum("__w"), F.lit(0.0))).alias("__s")).where("__s is not null")
-    interval = each.groupBy(by).agg(F.percentile("__s", 0.025).alias("low"), F.percentile("__s", 0.975).alias("high"), F.count(F.lit(1)).alias("kept"))
-    return sizes.join(interval, by, "left")

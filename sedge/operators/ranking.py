@@ -33,18 +33,27 @@ def budget_prefix(rows: DataFrame, by: str, order: list[str], size: str, budget:
 def budget_skip(rows: DataFrame, by: str, key: str, order: list[str], size: str, budget: int) -> DataFrame:
     """(by, key): rows taken in order while they fit, skipping those that do not; the first is always kept.
 
-    One ordered fold a group; a group is held as (order, key, size) triples only.
+    Groups are streamed in order through their task with the sum so far; no group is gathered.  Rows without a size take no part.
     """
-    line = F.sort_array(F.collect_list(F.struct(*order, F.col(key).alias("__k"), F.col(size).cast("long").alias("__s"))))
-    kind = dict(rows.dtypes)[key]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+    kinds = dict(rows.dtypes)
+    given = rows.where(F.col(size).isNotNull()).select(by, *[F.col(o).alias(f"__o{k}") for k, o in enumerate(order)], F.col(key).alias("__k"), F.col(size).cast("long").alias("__s"))
+    line = given.repartition(by).sortWithinPartitions(by, *[f"__o{k}" for k in range(len(order))], "__k", "__s")
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["__s"] <= budget)
-        return F.when(fits, F.struct((acc["used"] + x["__s"]).alias("used"), F.concat(acc["kept"], F.array(x["__k"])).alias("kept"))).otherwise(acc)
-
-    folded = rows.where(F.col(size).isNotNull()).groupBy(by).agg(line.alias("line"))
-    return folded.select(by, F.explode(F.aggregate("line", start, step)["kept"]).alias(key))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = object()
+        group, used = nothing, 0
+        for pdf in batches:
+            kept = []
+            for k, (g, s) in enumerate(zip(pdf[by].tolist(), pdf["__s"].tolist())):
+                if g != group and not (pd.isna(g) and group is None):
+                    group, used = None if pd.isna(g) else g, s
+                    kept.append(k)
+                elif used + s <= budget:
+                    used += s
+                    kept.append(k)
+            yield pd.DataFrame({by: pdf[by].iloc[kept], key: pdf["__k"].iloc[kept]})
+
+    return line.select(by, "__k", "__s").mapInPandas(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}")
 
 
 def quotas(counts: DataFrame, by: str, n: str, size: int) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors broadcast at once; a larger set is searched in several blocks.
-BLOCK = 20_000
+#: Query vectors broadcast at once; a larger set is searched in several blocks.  Similarities that a task holds at once.
+BLOCK, TILE = 20_000, 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,10 +50,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, key: str, vector: str, fa
     """
     columns = [key, vector] + ([facet] if facet else [])
     asked = _usable(queries.select(*columns), vector)
-    blocks = asked.withColumn("__block", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / BLOCK)) if asked.count() > BLOCK else asked.withColumn("__block", F.lit(0))
+    count = ceil(asked.count() / BLOCK)
+    blocks = asked.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(max(1, count))).cast("int"))
     kind = dict(base.dtypes)[key]
     out = None
-    for b in [r[0] for r in blocks.select("__block").distinct().collect()]:
+    for b in range(count):
         part = blocks.where(F.col("__block") == b).toPandas()
         shared = base.sparkSession.sparkContext.broadcast((part[key].to_numpy(), _matrix(part[vector]), part[facet].to_numpy() if facet else None))
 
@@ -62,18 +64,21 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, key: str, vector: str, fa
             for pdf in batches:
                 if not len(pdf):
                     continue
-                s = np.round(q @ _matrix(pdf[vector]).T, 9)
-                keys = pdf[key].to_numpy()
-                if facet:
-                    s[own[:, None] != pdf[facet].to_numpy()[None, :]] = -9
-                if skip_self:
-                    s[ids[:, None] == keys[None, :]] = -9
-                keep = min(k, s.shape[1])
-                floor = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-                r, c = np.nonzero((s >= floor) & (s > -2))
-                new = pd.DataFrame({"query": ids[r], key: keys[c], "score": s[r, c]})
-                both = new if best is None else pd.concat([best, new])
-                best = both.sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query").head(k)
+                x, keys = _matrix(pdf[vector]), pdf[key].to_numpy()
+                new = [] if best is None else [best]
+                step = max(1, TILE // len(pdf))
+                for start in range(0, len(q), step):
+                    at = slice(start, start + step)
+                    s = np.round(q[at] @ x.T, 9)
+                    if facet:
+                        s[own[at, None] != pdf[facet].to_numpy()[None, :]] = -9
+                    if skip_self:
+                        s[ids[at, None] == keys[None, :]] = -9
+                    keep = min(k, s.shape[1])
+                    floor = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
+                    r, c = np.nonzero((s >= floor) & (s > -2))
+                    new.append(pd.DataFrame({"query": ids[at][r], key: keys[c], "score": s[r, c]}))
+                best = pd.concat(new).sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query").head(k)
             if best is not None:
                 yield best
 

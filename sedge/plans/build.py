@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sedge.book import Book
 from sedge.operators import build as B
+from sedge.operators import graph as G
 from sedge.operators import store as S
-from sedge.operators.graph import confidence_rank
 from sedge.plans.store import CUR_C, CUR_F
 from sedge.session import cut, table
 
@@ -237,3 +237,37 @@ def community_weights(spark, d):
     """Undirected weights of the evidence graph: extracted edges and shared chunks."""
     n = _nodes(spark, d).where("label <> 'MetricValue'")
     return B.community_graph(_with_reason(spark, d).where("reason is null"), n)[0]
+
+
+_WALK = """u as (select distinct a as node, b as other from (select "start" as a, "end" as b from d where reason is null and "start" <> "end" union all select "end", "start" from d where reason is null and "start" <> "end")), an as (select distinct key as anchor from c3 where key like 'Product:%')"""
+_CANON = "c3 as (select distinct coalesce(al.canonical, n.key) as key, n.chunk from n left join al on al.key = n.key)"
+
+
+def _walk(spark, d):
+    e = _with_reason(spark, d).where("reason is null")
+    nodes = B.canonical(_nodes(spark, d), _alias(spark, d), "key").select("key", "chunk").distinct()
+    return nodes, G.undirected(e.select("start", "end"), "start", "end"), nodes.where("key like 'Product:%'").select(F.col("key").alias("anchor")).distinct()
+
+
+@book.query(
+    f"""with {_DROPS}, {_CANON}, {_WALK}, one as (select distinct anchor, other as node from an join u on u.node = anchor where other <> anchor), two as (select distinct one.anchor, u.other as node from one join u on u.node = one.node where u.other <> one.anchor and (one.anchor, u.other) not in (select (anchor, node) from one))
+select anchor, anchor as node, 0 as hop from an union all select anchor, node, 1 from one union all select anchor, node, 2 from two"""
+)
+def evidence_hops(spark, d):
+    """Everything within two edges of each product of the evidence graph."""
+    _, edges, anchors = _walk(spark, d)
+    return G.expand(anchors, edges, 2)
+
+
+@book.query(
+    f"""with {_DROPS}, {_CANON}, {_WALK}, ci as (select an.anchor as node, c3.chunk, null as edge from an join c3 on c3.key = an.anchor union select an.anchor, d.chunk, d.type || ' ' || d."start" || ' ' || d."end" from an join d on (d."start" = an.anchor or d."end" = an.anchor) where d.reason is null),
+p2 as (select node, chunk, count(distinct edge) as edges from ci group by 1, 2)
+select chunk, round(sum(0.5::double * (1 + edges)), 6) as score, (row_number() over (order by round(sum(0.5::double * (1 + edges)), 9) desc, chunk))::int as rank from p2 group by 1 order by 3 limit 50"""
+)
+def evidence_rank(spark, d):
+    """The fifty chunks that most products and their edges cite, every product at a similarity of 0.5."""
+    nodes, _, anchors = _walk(spark, d)
+    own = nodes.join(anchors.select(F.col("anchor").alias("key")), "key").select(F.col("key").alias("node"), "chunk", F.lit(None).cast("string").alias("edge"))
+    e = _with_reason(spark, d).where("reason is null").select(F.explode(F.array("start", "end")).alias("node"), "chunk", F.concat_ws(" ", "type", "start", "end").alias("edge"))
+    citing = own.unionByName(e.join(anchors.select(F.col("anchor").alias("node")), "node", "left_semi")).distinct()
+    return G.rank_chunks(anchors.select(F.col("anchor").alias("node"), F.lit(0.5).alias("similarity")), citing, 50).withColumn("score", F.round("score", 6))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedge.book import Book
+from sedge.operators import evaluate as E
 from sedge.operators import metrics as M
 from sedge.operators import vectors as V
+from sedge.plans.scoring import _boot as boot
 from sedge.session import table
 
 book = Book()
@@ -121,24 +123,20 @@ def fisher_interval(spark, d):
 
 
 def _boot_sql(value: str, weight: str) -> str:
-    return f"""with v as (select label, vec_id, {value} as v, {weight} as w, row_number() over (partition by label order by vec_id) - 1 as i from embeddings),
-s as (select label, count(*) as n, sum(v) / nullif(sum(w), 0) as estimate from v group by 1),
-dr as (select v.label, b, ('0x' || substr(sha256('7|' || v.label || '|' || b || '|' || v.i), 1, 8))::bigint % s.n as i from v join s using (label), range(60) t(b)),
-e as (select dr.label, b, sum(v) / nullif(sum(w), 0) as st from dr join v using (label, i) group by 1, 2)
-select label, n, round(estimate, 6) as estimate, round(low, 6) as low, round(high, 6) as high, kept from s left join
-(select label, quantile_cont(st, 0.025) as low, quantile_cont(st, 0.975) as high, count(*) as kept from e where st is not null group by 1) using (label)"""
+    own = boot("x", "embeddings", "label", "vec_id", {"top": value, "bottom": weight}, "top / nullif(bottom, 0)", 1000)
+    return f"with {own} select label, n, round(estimate, 6) as estimate, round(low, 6) as low, round(high, 6) as high, kept from x"
 
 
 @book.query(_boot_sql("(embedding[1])::double", "1.0"))
 def bootstrap_mean(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).alias("v"))
-    return M.bootstrap(e, "label", "vec_id", "v", resamples=60).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+    return E.bootstrap_of(e, ["label"], "vec_id", {"top": F.col("v"), "bottom": F.lit(1.0)}, E.ratio, 1000).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 @book.query(_boot_sql("(embedding[1])::double", "(vec_id % 5)::double"))
 def bootstrap_ratio(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).alias("v"), (F.col("vec_id") % 5).alias("w"))
-    return M.bootstrap(e, "label", "vec_id", "v", "w", resamples=60).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+    return E.bootstrap_of(e, ["label"], "vec_id", {"top": F.col("v"), "bottom": F.col("w")}, E.ratio, 1000).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 @book.query(

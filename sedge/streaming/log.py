@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG = "seq long, event string, merge_id string, member string, canonical string, count long"
@@ -33,6 +33,12 @@ def aliases(log: DataFrame) -> DataFrame:
     return active_merges(log).groupBy("member").agg(F.max_by("canonical", F.struct("seq", "canonical")).alias("canonical")).where("member <> canonical")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``; other failures to look are errors."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def keep_current(stream: DataFrame, log_path: str, alias_path: str, checkpoint: str):
     """Start a stream that appends every batch's new events to the log and rewrites the aliases from the whole log.
 
@@ -41,10 +47,8 @@ def keep_current(stream: DataFrame, log_path: str, alias_path: str, checkpoint:
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            log = spark.read.schema(LOG).parquet(log_path)
-        except Exception:  # no log yet
-            log = spark.createDataFrame([], LOG)
+        there = _exists(spark, log_path)
+        log = spark.read.schema(LOG).parquet(log_path) if there else spark.createDataFrame([], LOG)
         new_events(log, batch.select(*[c.split()[0] for c in LOG.split(", ")])).write.mode("append").parquet(log_path)
         aliases(spark.read.schema(LOG).parquet(log_path)).write.mode("overwrite").parquet(alias_path)
 
