@@ -26,10 +26,49 @@ def propagate(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = own.select(F.col("n").alias("node"), F.col("n").alias("community"))
     for _ in range(rounds):
         votes = loops.join(labels.withColumnRenamed("node", "m"), "m").groupBy("n", "community").agg(F.sum("weight").alias("w"))
-        labels = cut(votes.groupBy("n").agg(F.max_by("community", F.struct("w", (-F.col("community")).alias("c"))).alias("community")).withColumnRenamed("n", "node"))
+        labels = cut(votes.groupBy("n").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), "community")).alias("community")).withColumnRenamed("n", "node"))
     return labels
 
 
+def two_level(edges: DataFrame, nodes: DataFrame, rounds: int = 5, split: int = 25) -> DataFrame:
+    """(node, top, lower): communities of the whole graph, and of each with more than ``split`` members those within it.
+
+    edges: a, b, weight; nodes: node (those without an edge are communities of their own).  A community is named by its least member.  Both levels
+    come from label propagation: the greater ones are propagated again on their inner edges only, all at once.
+    """
+    found = propagate(edges, rounds)
+    top = nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("label"))
+    top = cut(_named(top, "label").withColumnRenamed("label", "top"))
+    big = top.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("top")
+    of = top.join(big, "top", "left_semi")
+    inner = edges.join(of.select(F.col("node").alias("a"), F.col("top").alias("__a")), "a").join(of.select(F.col("node").alias("b"), F.col("top").alias("__b")), "b").where("__a = __b").select("a", "b", "weight")
+    parts = propagate(inner, rounds).withColumnRenamed("community", "part")
+    lower = top.join(parts, "node", "left").withColumn("label", F.coalesce("part", F.col("top")))
+    return _named(lower.select("node", "top", "label"), "label").select("node", "top", F.col("label").alias("lower"))
+
+
+def _named(labels: DataFrame, column: str) -> DataFrame:
+    """``labels`` with each community named by its least node."""
+    names = labels.groupBy(column).agg(F.min("node").alias("__least"))
+    return labels.join(names, column).withColumn(column, F.col("__least")).drop("__least")
+
+
+def tree(levels: DataFrame, report_least: int = 3) -> DataFrame:
+    """(community_id, level, parent, members, member_hash, reportable) of both levels; a lower community that is its whole top one stands once, on top."""
+    tops = records(levels.select("node", F.col("top").alias("community")), report_least).withColumn("level", F.lit("top"))
+    lows = records(levels.where("true").select("node", F.col("lower").alias("community")), report_least).withColumn("level", F.lit("lower"))
+    of = levels.select(F.col("lower").alias("community"), "top").distinct()
+    parents = of.join(tops.select(F.col("community").alias("top"), F.col("community_id").alias("parent"), F.col("member_hash").alias("__whole")), "top")
+    below = lows.join(parents, "community").where("member_hash <> __whole").select(F.concat(F.lit("lower-"), F.substring("member_hash", 1, 12)).alias("community_id"), "level", "parent", "members", "member_hash", "reportable")
+    return tops.select("community_id", "level", F.lit(None).cast("string").alias("parent"), "members", "member_hash", "reportable").unionByName(below)
+
+
+def or_children(citing: DataFrame, tree_edges: DataFrame) -> DataFrame:
+    """(community, chunk): chunks of a community itself and of its children.  citing: community, chunk; tree_edges: parent, child."""
+    of_child = tree_edges.select(F.col("parent").alias("community"), F.col("child").alias("__c")).join(citing.select(F.col("community").alias("__c"), "chunk"), "__c").select("community", "chunk")
+    return citing.select("community", "chunk").unionByName(of_child).distinct()
+
+
 def records(labels: DataFrame, report_least: int = 3) -> DataFrame:
     """(community_id, community, members, member_hash, reportable): the hash is of the sorted members as JSON, the id of its first 12 digits."""
     text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.col("node").cast("string"))), lambda m: F.concat(F.lit('"'), m, F.lit('"'))), ","), F.lit("]"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from sedge.book import Book
 from sedge.operators import build as B
+from sedge.operators import communities as CM
 from sedge.operators import graph as G
+from sedge.operators import ranking as R
 from sedge.operators import store as S
 from sedge.plans.store import CUR_C, CUR_F
 from sedge.session import cut, table
@@ -271,3 +273,38 @@ def evidence_rank(spark, d):
     e = _with_reason(spark, d).where("reason is null").select(F.explode(F.array("start", "end")).alias("node"), "chunk", F.concat_ws(" ", "type", "start", "end").alias("edge"))
     citing = own.unionByName(e.join(anchors.select(F.col("anchor").alias("node")), "node", "left_semi")).distinct()
     return G.rank_chunks(anchors.select(F.col("anchor").alias("node"), F.lit(0.5).alias("similarity")), citing, 50).withColumn("score", F.round("score", 6))
+
+
+def _levels(spark, d):
+    n = _nodes(spark, d).where("label <> 'MetricValue'")
+    pairs, nodes = B.community_graph(_with_reason(spark, d).where("reason is null"), n)
+    return CM.two_level(cut(pairs.select("a", "b", "weight")), nodes.select(F.col("key").alias("node")))
+
+
+@book.query()
+def community_tree(spark, d):
+    """Communities of the evidence graph on two levels, by the hash of their members."""
+    return CM.tree(cut(_levels(spark, d)))
+
+
+@book.query(
+    f"""with {_CAND}, c as (select distinct split_part(key, ':', 2) as parent, key as child from n where label = 'RiskFactor'), ci as (select distinct key as community, chunk from n where label = 'RiskFactor')
+select distinct community, chunk from (select community, chunk from ci union all select parent, chunk from c join ci on ci.community = c.child)"""
+)
+def children_evidence(spark, d):
+    """Chunks of each risk and of the filing it was read in, the parent of all its risks."""
+    n = _nodes(spark, d).where("label = 'RiskFactor'")
+    return CM.or_children(n.select(F.col("key").alias("community"), "chunk").distinct(), n.select(F.split_part("key", F.lit(":"), F.lit(2)).alias("parent"), F.col("key").alias("child")).distinct())
+
+
+@book.query(
+    f"""with {_CAND}, ci as (select split_part(key, ':', 2) as community, chunk, count(distinct key) as n from n where label <> 'MetricValue' group by 1, 2), o as (select community, chunk, n, row_number() over (partition by community order by n desc, chunk) as place, sum(120) over (partition by community order by n desc, chunk rows unbounded preceding) as total from ci)
+select community, chunk, place::int as place from o where total <= 1000 or place = 1"""
+)
+def report_input(spark, d):
+    """The passages each community's report is written from: by citations, as many as fit a budget of 1,000 words at 120 each."""
+    n = _nodes(spark, d).where("label <> 'MetricValue'")
+    own = n.select(F.split_part("key", F.lit(":"), F.lit(2)).alias("node"), "key", "chunk").distinct()
+    ranked = CM.ranked_passages(own.select(F.col("key").alias("node"), F.col("node").alias("community")).distinct(), own.select(F.col("key").alias("a"), F.col("key").alias("b"), "chunk").where("false"), own.select(F.col("key").alias("node"), "chunk"))
+    kept = R.budget_prefix(ranked.withColumn("words", F.lit(120)), "community", ["place"], "words", 1000)
+    return kept.select("community", "chunk", "place")

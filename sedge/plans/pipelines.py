@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.book import Book
@@ -74,13 +75,15 @@ def communities(spark, d):
 
 @book.query(
     """with x as (select distinct l_suppkey as node, l_orderkey as chunk from lineitem), l as (select s_suppkey as node, s_nationkey as community from supplier), n as (select community, chunk from x join l using (node)),
-g as (select community, chunk, count(*) as n from n group by 1, 2) select community, chunk, n, place::int as place from (select *, row_number() over (partition by community order by n desc, chunk) as place from g) where place <= 6"""
+e as (select distinct l_suppkey as a, lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as b, l_orderkey as chunk from lineitem), i as (select p.community, e.chunk from e join l p on p.node = e.a join l q on q.node = e.b where p.community = q.community),
+g as (select community, chunk, count(*) as n from (select * from n union all select * from i) group by 1, 2) select community, chunk, n, place::int as place from (select *, row_number() over (partition by community order by n desc, chunk) as place from g) where place <= 6"""
 )
 def community_passages(spark, d):
     labels = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("community"))
     cites = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_orderkey").alias("chunk"))
-    none = cites.select(F.col("node").alias("a"), F.col("node").alias("b"), "chunk").where("false")
-    return C.ranked_passages(labels, none, cites).where("place <= 6")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(after).alias("b"), F.col("l_orderkey").alias("chunk")).where("b is not null")
+    return C.ranked_passages(labels, edges, cites).where("place <= 6")
 
 
 @book.query()

@@ -16,22 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset and the master is local (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again, so that later plans start from it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    and the master is local (tests) a temporary one is made; a cluster without it is an error, as no
-    folder of one machine would do.  The table outlives any executor.  Unlike
+    The table outlives any executor.  Unlike
     ``checkpoint()`` it carries no optimizer constraints over, which pile up in iterative plans,
     and it has sizes from which joins can be planned.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._sedge_path = path

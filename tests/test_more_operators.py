@@ -191,3 +191,68 @@ def test_replies_and_corruptions(spark):
     assert set(R.corruptions("Hm.", []).values()) == {None}
     s = spark.createDataFrame([(1, None, None), (2, "It is 5.", None)], "id int, text string, others array<string>")
     assert {(r.id, r.kind) for r in R.corrupted(s, "id", "text", "others").collect() if r.text} == {(2, "number"), (2, "negation")}
+
+
+def test_two_levels_of_communities(spark):
+    from sedge.operators import communities as CM
+
+    cliques = [[f"n{c}{k}" for k in range(6)] for c in range(4)]
+    pairs = [(a, b, 5) for c in cliques for a, b in itertools.combinations(c, 2)] + [("n00", "n10", 1)]
+    levels = CM.two_level(spark.createDataFrame(pairs, "a string, b string, weight int"), spark.createDataFrame([(x,) for c in cliques for x in c] + [("alone",)], "node string"), split=3)
+    got = {r.node: (r.top, r.lower) for r in levels.collect()}
+    assert set(got) == {x for c in cliques for x in c} | {"alone"} and got["alone"] == ("alone", "alone")
+    assert all(len({got[x] for x in c}) == 1 and got[c[0]][0] == c[0] for c in cliques)
+    tree = CM.tree(levels).collect()
+    assert sorted((r.level, r.members, r.reportable) for r in tree) == [("top", 1, False)] + [("top", 6, True)] * 4
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from sedge.sources import files as I
+
+    (tmp_path / "e.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
+    assert [(r.line, r.id) for r in I.read_numbered(spark, str(tmp_path / "e.jsonl"), "id int", "id").orderBy("line").collect()] == [(1, 1), (3, 2)]
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(I.CorruptInput, match="b.jsonl:2"):
+        I.read_numbered(spark, str(tmp_path / "b.jsonl"), "id int")
+    (tmp_path / "t.jsonl").write_text('{"id": 1}\n{"id": 1}\n')
+    with pytest.raises(I.CorruptInput, match="t.jsonl:1.*t.jsonl:2"):
+        I.read_numbered(spark, str(tmp_path / "t.jsonl"), "id int", "id")
+    (tmp_path / "c.jsonl").write_text('{"kind": "odd"}\n')
+    with pytest.raises(I.CorruptInput):
+        I.read_candidates(spark, str(tmp_path / "c.jsonl"))
+    import hashlib
+
+    own = {"community_id": "top-1", "level": "top", "members": ["b", "a"], "member_hash": hashlib.sha256(b'["a","b"]').hexdigest()}
+    (tmp_path / "com.json").write_text(json.dumps({"input_hash": "h", "communities": [own]}, indent=1))
+    com = I.read_communities(spark, str(tmp_path / "com.json"))
+    assert com.first().community_id == "top-1"
+    (tmp_path / "bad.json").write_text(json.dumps({"input_hash": "h", "communities": [own | {"member_hash": "x"}]}))
+    with pytest.raises(I.CorruptInput):
+        I.read_communities(spark, str(tmp_path / "bad.json"))
+    report = {"community_id": "top-1", "title": "t", "summary": "s", "findings": [{"text": "f", "chunk_ids": ["c"]}]}
+    (tmp_path / "rep.json").write_text(json.dumps({"input_hash": "h", "reports": [report]}))
+    assert I.read_reports(spark, str(tmp_path / "rep.json"), com).first().title == "t"
+    (tmp_path / "rep2.json").write_text(json.dumps({"input_hash": "other", "reports": [report]}))
+    with pytest.raises(I.CorruptInput):
+        I.read_reports(spark, str(tmp_path / "rep2.json"), com)
+    (tmp_path / "res.json").write_text(json.dumps({"format": 2, "rows": [{"q": "x", "v": 1.5}]}))
+    assert I.read_results(spark, str(tmp_path / "res.json"), "q:string,v:double", 2).first().v == 1.5
+    with pytest.raises(I.CorruptInput, match="res.json"):
+        I.read_results(spark, str(tmp_path / "res.json"), "q:string,v:double", 3)
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    for name in ("one", "two"):
+        I.write_snapshot({"t": (df, ["k"])}, str(tmp_path / name), single=True)
+    one, two = ([p.read_bytes() for p in (tmp_path / n / "t").glob("*.gz")] for n in ("one", "two"))
+    assert one == two and len(one) == 1
+    I.import_snapshot(spark, str(tmp_path / "one"), {"t": "k int, v string"}, str(tmp_path / "store"))
+    with pytest.raises(I.CorruptInput):
+        I.import_snapshot(spark, str(tmp_path / "one"), {"t": "k int, v string"}, str(tmp_path / "store"))
+    I.rebuild_graph(df, df, str(tmp_path / "graph"))
+    with pytest.raises(I.CorruptInput):
+        I.upsert_graph(df, df, df, str(tmp_path / "graph"), ["k"], ["k"])
+    I.upsert_graph(spark.createDataFrame([(1, "new")], df.schema), df.where("false"), df.where("false"), str(tmp_path / "graph"), ["k"], ["k"])
+    assert rows(spark.read.parquet(str(tmp_path / "graph/nodes"))) == [(1, "new"), (2, "b")] and rows(spark.read.parquet(str(tmp_path / "graph/edges"))) == [(1, "a"), (2, "b")]
