@@ -281,3 +281,23 @@ def community_graph(edges: DataFrame, evidence: DataFrame, per_chunk: int = 40)
     both = near.unionByName(far).unionByName(linked)
     pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"), F.count_if(F.col("kind") == "extracted").alias("extracted"))
     return pairs, own.select("key").distinct()
+
+
+def community_findings(communities: DataFrame, members: DataFrame, cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(check, item) of what is wrong with a stored community tree.
+
+    communities: community_id, level, parent, member_hash; members: community_id, node; cited: community_id, chunk (of reports); evidence: node, chunk.  Checks: parent (a lower one
+    without a known top one, or a top one with one), members (none, or a member of several communities of a level), hash (not that of the members), citation (a chunk that is no
+    evidence of a member).
+    """
+    tops = communities.where("level = 'top'").select(F.col("community_id").alias("parent"), F.lit(True).alias("__top"))
+    linked = communities.join(tops, "parent", "left")
+    orphan = linked.where("(level = 'lower' and __top is null) or (level = 'top' and parent is not null)").select(F.lit("parent").alias("check"), F.col("community_id").alias("item"))
+    own = members.distinct().groupBy("community_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("node"))), 256).alias("__hash"))
+    hashed = communities.join(own, "community_id", "left")
+    empty = hashed.where("__hash is null").select(F.lit("members").alias("check"), F.col("community_id").alias("item"))
+    other = hashed.where("__hash <> member_hash").select(F.lit("hash").alias("check"), F.col("community_id").alias("item"))
+    twice = members.distinct().join(communities.select("community_id", "level"), "community_id").groupBy("level", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("members").alias("check"), F.col("node").alias("item"))
+    held = members.join(evidence, "node").select("community_id", "chunk").distinct()
+    foreign = cited.distinct().join(held, ["community_id", "chunk"], "left_anti").select(F.lit("citation").alias("check"), F.concat_ws(" ", "community_id", "chunk").alias("item"))
+    return orphan.unionByName(empty).unionByName(other).unionByName(twice).unionByName(foreign).distinct()

@@ -190,3 +190,13 @@ def markdown_rows(df: DataFrame, columns: list[str], key: str = "place") -> Data
     rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns]), F.lit(" |")).alias("line"), *columns)
     placed = rows.withColumn(key, F.row_number().over(Window.orderBy(*columns)) + 1).select(key, "line")  # a table to be read: few rows
     return df.sparkSession.createDataFrame([(0, head), (1, "| " + " | ".join("---" for _ in columns) + " |")], f"{key} int, line string").unionByName(placed)
+
+
+def by_relation(hits: DataFrame, by: str, question: str, relation: str) -> DataFrame:
+    """(by, relation, hits, rate, of_wrong): questions with a hit of each relation, as a share of all questions and of those with any hit.
+
+    hits: a row a question and hit; a question without one has a null relation.
+    """
+    per = hits.groupBy(by, question).agg(F.bool_or(F.col(relation).isNotNull()).alias("__hit")).groupBy(by).agg(F.count(F.lit(1)).alias("__all"), F.count_if("__hit").alias("__wrong"))
+    n = hits.where(F.col(relation).isNotNull()).groupBy(by, relation).agg(F.count_distinct(question).alias("hits"))
+    return n.join(per, by).select(by, relation, "hits", (F.col("hits") / F.col("__all")).alias("rate"), (F.col("hits") / F.nullif(F.col("__wrong"), F.lit(0))).alias("of_wrong"))

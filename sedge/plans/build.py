@@ -308,3 +308,21 @@ def report_input(spark, d):
     ranked = CM.ranked_passages(own.select(F.col("key").alias("node"), F.col("node").alias("community")).distinct(), own.select(F.col("key").alias("a"), F.col("key").alias("b"), "chunk").where("false"), own.select(F.col("key").alias("node"), "chunk"))
     kept = R.budget_prefix(ranked.withColumn("words", F.lit(120)), "community", ["place"], "words", 1000)
     return kept.select("community", "chunk", "place")
+
+
+@book.query(
+    f"""with {_CAND}, m as (select distinct file as community_id, key as node from n where label = 'RiskFactor' and file is not null), c as (select community_id, case when ascii(right(community_id, 1)) % 2 = 0 then 'lower' else 'top' end as level, case when ascii(right(community_id, 1)) % 3 = 0 then 'nowhere' end as parent from m group by 1),
+t as (select m.node, c.level from m join c using (community_id) group by 1, 2 having count(*) > 1), ci as (select distinct community_id, chunk from m join n on n.key = m.node)
+select 'parent' as "check", community_id as item from c where level = 'lower' or (level = 'top' and parent is not null) union select 'members', node from t union
+select 'citation', community_id || ' elsewhere' from c where ascii(right(community_id, 1)) % 4 = 0"""
+)
+def community_findings(spark, d):
+    """The risks of a filing as a community, with broken parents and citations: what the checks find."""
+    n = _nodes(spark, d).where("label = 'RiskFactor'")
+    m = n.select(F.col("file").alias("community_id"), F.col("key").alias("node")).distinct()
+    last = F.ascii(F.expr("right(community_id, 1)"))
+    c = m.groupBy("community_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("node"))), 256).alias("member_hash"))
+    c = c.select("community_id", F.when(last % 2 == 0, "lower").otherwise("top").alias("level"), F.when(last % 3 == 0, "nowhere").alias("parent"), "member_hash")
+    evidence = n.select(F.col("key").alias("node"), "chunk").distinct()
+    cited = m.join(evidence, "node").select("community_id", "chunk").unionByName(c.where(last % 4 == 0).select("community_id", F.lit("elsewhere").alias("chunk")))
+    return B.community_findings(c, m, cited, evidence)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.book import Book
+from sedge.operators import arms as A
 from sedge.operators import evaluate as V
 from sedge.session import table
 
@@ -270,3 +271,29 @@ def filter_report(spark, d):
     s = table(spark, d, "answers").where("kept is not null and question_id is not null").select("question_id", "class_name", F.explode("kept").alias("s"))
     k = s.select("question_id", "class_name", F.explode("s.citations").alias("c")).groupBy("question_id", "class_name").agg(F.array_sort(F.collect_set(F.regexp_replace("c", ":[^:]*$", ""))).alias("gold"))
     return V.filter_report(k.select("class_name", "gold", F.slice("gold", 1, 2).alias("allowed"), F.slice("gold", 1, 3).alias("label")))
+
+
+_REL = "r as (select arm, question_id, case when status = 'not_found' then 'other_period' when status = 'declined' then 'other_company' when stop_reason = 'max_tokens' then 'other_section' end as relation from answers where arm is not null and question_id is not null)"
+
+
+@book.query(f"with {_REL}, q as (select arm, question_id, bool_or(relation is not null) as hit from r group by 1, 2), t as (select arm, count(*) as questions, count(*) filter (hit) as wrong from q group by 1), n as (select arm, relation, count(distinct question_id) as hits from r where relation is not null group by 1, 2) select arm, relation, hits, hits / questions as rate, hits / nullif(wrong, 0) as of_wrong from n join t using (arm)")
+def wrong_by_relation(spark, d):
+    """Questions with wrong evidence by relation, as a share of all questions and of those with any."""
+    relation = F.when(F.col("status") == "not_found", "other_period").when(F.col("status") == "declined", "other_company").when(F.col("stop_reason") == "max_tokens", "other_section")
+    r = table(spark, d, "answers").where("arm is not null and question_id is not null").select("arm", "question_id", relation.alias("relation"))
+    return V.by_relation(r, "arm", "question_id", "relation")
+
+
+@book.query(
+    "with v as (select vec_id as chunk, label as filing, embedding from embeddings), q as (select vec_id as question, label, embedding from embeddings where vec_id % 100 = 0), f as (select q.question, v.chunk, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from q join v on (q.question % 200 = 0 or q.label = v.filing)), "
+    "o as (select *, row_number() over (partition by question order by score desc, chunk) as rank from f) select 'vector' as arm, question, chunk, round(score, 6) as score, rank::int as rank from o where rank <= 5"
+)
+def vector_arm(spark, d):
+    """The vector arm through the registry: half of the questions keep to the filings of their own label."""
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("chunk"), F.col("label").alias("filing"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), "label", F.col("embedding").alias("vector"))
+    allowed = q.where("question % 200 <> 0").select("question", F.col("label").alias("filing"))
+    arms = A.Arms()
+    arms.add("vector", lambda asked: A.vector_arm(asked.select("question", "vector"), v, 5, allowed))
+    return arms.run(q).withColumn("score", F.round("score", 6))
