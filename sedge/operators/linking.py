@@ -150,6 +150,8 @@ def named_in(questions: DataFrame, names: DataFrame, cutoff: float = 90) -> Data
     texts = spread(runs.select("words", "run").distinct())
     a, b = F.length("run"), F.length("name")
     near = texts.join(known.select("words", "name").distinct(), "words").where(200 * F.least(a, b) >= cutoff * (a + b))
+    # insertions and deletions alone are no fewer than edits, so most pairs end here, without leaving the JVM
+    near = near.where(100 * F.levenshtein("run", "name") <= (100 - cutoff) * (a + b))
     scored = near.select("words", "run", "name", F.round(ratio_of("run", "name"), 6).alias("score")).where(F.col("score") >= cutoff)
     hits = scored.join(runs.distinct(), ["words", "run"]).join(known.select("key", "name"), "name")
     return hits.groupBy("question", "key").agg(F.max("score").alias("score"))

@@ -44,7 +44,11 @@ def extraction_nodes(spark, d):
     return X.rejections(X.checked_nodes(_replies(spark, d), LABELS))
 
 
-@book.query()
+@book.query(
+    f"""with {_NODES}, g as (select chunk_id, node_key, label from c where reason is null), a as (select * from c where pos = 1), b as (select * from c where pos = 2)
+select coalesce(case when ga.label is null or gb.label is null then 'endpoint' when ga.label not in ('RiskFactor', 'Product') then 'pair' when a.node_key = b.node_key then 'self_loop' end, 'ok') as reason, count(*) as n
+from a join b using (chunk_id) left join g ga on ga.chunk_id = a.chunk_id and ga.node_key = a.node_key left join g gb on gb.chunk_id = b.chunk_id and gb.node_key = b.node_key group by 1"""
+)
 def extraction_triples(spark, d):
     r = _replies(spark, d)
     allowed = spark.createDataFrame([(a, "AFFECTS", b) for a in ("RiskFactor", "Product") for b in LABELS], "start_label string, type string, end_label string")
@@ -91,19 +95,3 @@ def group_cut(spark, d):
     p = table(spark, d, "pair_labels").where("key_a is not null and key_b is not null and key_a <> key_b and same is not null").select("key_a", "key_b", "same").distinct()
     root = components(p, "key_a", "key_b")
     return C.separate(p.join(root.select(F.col("key").alias("key_a"), "root"), "key_a"), "root")
-
-
-@book.query(
-    """with t as (select stratum, count(*) as n, count(*) filter (where same) as pos, count(*) filter (where quotes_verified) as pred, count(*) filter (where same and quotes_verified) as tp from pair_labels where same is not null and quotes_verified is not null group by 1),
-w as (select *, case stratum when 'candidate' then 2000.0 when 'near' then 5000.0 else 90000.0 end / n as w from t)
-select round(sum(w * tp) / nullif(sum(w * pred), 0), 6) as precision, round(sum(w * tp) / nullif(sum(w * pos), 0), 6) as recall from w"""
-)
-def weighted_scores(spark, d):
-    p = table(spark, d, "pair_labels").where("same is not null and quotes_verified is not null")
-    both = F.expr("same and quotes_verified")
-    t = p.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("pos"), F.count_if("quotes_verified").alias("pred"), F.count_if(both).alias("tp"))
-    w = F.when(F.col("stratum") == "candidate", 2000.0).when(F.col("stratum") == "near", 5000.0).otherwise(90000.0) / F.col("n")
-    zero = F.lit(0.0)
-    return t.withColumn("w", w).agg(
-        F.round(F.sum(F.col("w") * F.col("tp")) / F.nullif(F.sum(F.col("w") * F.col("pred")), zero), 6).alias("precision"), F.round(F.sum(F.col("w") * F.col("tp")) / F.nullif(F.sum(F.col("w") * F.col("pos")), zero), 6).alias("recall")
-    )
