@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedge.operators.graph import confidence_rank
-from sedge.operators.skew import salted_join
+from sedge.operators.skew import FEW, hot_keys, salted_join
+from sedge.session import cut
 
 # fixed values: the ontology
 STRUCTURAL = ("Company", "Filing", "Period", "Chunk")
@@ -54,9 +55,9 @@ def label_of(key: Column) -> Column:
     return F.split_part(key, F.lit(":"), F.lit(1))
 
 
-def canonical(rows: DataFrame, alias: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` replaced by its canonical key where ``alias`` (key, canonical; one row a key) has one; null stays null."""
-    named = salted_join(rows, alias.select(F.col("key").alias(column), F.col("canonical").alias("__to")), column, "left")
+def canonical(rows: DataFrame, alias: DataFrame, column: str, hot: list | None = None) -> DataFrame:
+    """``rows`` with ``column`` replaced by its canonical key where ``alias`` (key, canonical; one row a key) has one; null stays null.  ``hot`` as in ``salted_join``."""
+    named = salted_join(rows, alias.select(F.col("key").alias(column), F.col("canonical").alias("__to")), column, "left", hot=hot)
     return named.withColumn(column, F.coalesce("__to", column)).drop("__to")
 
 
@@ -75,7 +76,10 @@ def with_drop_reason(edges: DataFrame, alias: DataFrame, skipped: DataFrame) ->
     e = edges
     for end in ("start", "end"):
         e = e.join(gone.select(F.col("__key").alias(end), F.col("__gone").alias(f"__{end}")), end, "left")
-    e = canonical(canonical(e, alias, "start"), alias, "end")
+    e, alias = cut(e), cut(alias)
+    few = e.count() <= FEW  # heavy ends are looked for once, on what was written, and not among few edges
+    for end in ("start", "end"):
+        e = canonical(e, alias, end, [] if few else hot_keys(e, end))
     e = e.withColumn("start_label", label_of(F.col("start"))).withColumn("end_label", label_of(F.col("end")))
     pairs = F.broadcast(allowed_pairs(edges.sparkSession).withColumn("__pair", F.lit(True)))
     e = e.join(pairs, ["type", "start_label", "end_label"], "left")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.session import spread
+
 # fixed values: below so many questions a cell is directional; cumulative chances of 0, 1, 2, ... for a Poisson variable of mean 1
 DIRECTIONAL = 10
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
@@ -33,7 +35,7 @@ def bootstrap_of(df: DataFrame, by: list[str], unit: str, sums: dict[str, Column
     per = df.where(F.col(unit).isNotNull()).groupBy(*by, unit).agg(*[F.sum(c.cast("double")).alias(f"__{k}") for k, c in sums.items()])
     whole = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__{k}").alias(f"__{k}") for k in sums])
     estimate = whole.select(*by, "n", statistic(lambda k: F.col(f"__{k}")).alias("estimate"))
-    drawn = per.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", poisson_weight(seed, F.col(unit), F.col("__draw"))).where("__w > 0")
+    drawn = spread(per).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", poisson_weight(seed, F.col(unit), F.col("__draw"))).where("__w > 0")
     each = drawn.groupBy(*by, "__draw").agg(*[F.sum(F.col(f"__{k}") * F.col("__w")).alias(f"__{k}") for k in sums])
     each = each.select(*by, statistic(lambda k: F.col(f"__{k}")).alias("__s")).where("__s is not null")
     interval = each.groupBy(*by).agg(F.percentile("__s", 0.025).alias("low"), F.percentile("__s", 0.975).alias("high"), F.count(F.lit(1)).alias("kept"))
