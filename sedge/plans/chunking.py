@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.book import Book
@@ -88,3 +89,20 @@ def heading_bodies(spark, d):
 @book.query()
 def cross_references(spark, d):
     return C.cross_references(_texts(spark, d), "accession_no", "parsed_text")
+
+
+@book.query(
+    f"with {CUR_F}, t as (select accession_no, parsed_text as x from cf where regexp_matches(parsed_text, '[^ \\t\\r\\n]')) select accession_no, (length(x) - length(ltrim(x, ' ' || chr(9) || chr(10) || chr(13))))::int as first, length(rtrim(x, ' ' || chr(9) || chr(10) || chr(13)))::int as last, true as ordered, 0::bigint as oversized, 0::bigint as long_overlaps, 0::bigint as gaps from t"
+)
+def chunk_checks(spark, d):
+    """What has to hold of every filing's chunks: they reach from its first to its last character, in order, without gaps but blanks, none over 160 tokens but tables, overlaps of at most 20 tokens."""
+    t = _texts(spark, d)
+    c = C.chunked(t, "accession_no", "parsed_text", 160, 20)
+    order = Window.partitionBy("accession_no").orderBy("ordinal")
+    between = F.expr("substring(parsed_text, before + 1, greatest(char_start - before, 0))")
+    shared = F.regexp_count(F.expr("substring(parsed_text, char_start + 1, greatest(before - char_start, 0))"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+    rows = c.withColumn("before", F.lag("char_end").over(order)).withColumn("earlier", F.lag("char_start").over(order)).join(t, "accession_no")
+    rows = rows.select("accession_no", "char_start", "char_end", (F.col("tokens") > 160).alias("big"), "contains_table", (F.col("char_start") > F.col("earlier")).alias("after"), F.trim(F.regexp_replace(between, r"\s+", " ")).alias("between"), shared.alias("shared"))
+    return rows.groupBy("accession_no").agg(
+        F.min("char_start").alias("first"), F.max("char_end").alias("last"), F.bool_and(F.coalesce("after", F.lit(True))).alias("ordered"), F.count_if(F.col("big") & ~F.col("contains_table")).alias("oversized"), F.count_if(F.col("shared") > 20).alias("long_overlaps"), F.count_if(F.col("between") != "").alias("gaps")
+    )
