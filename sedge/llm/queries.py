@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from sedge.llm.defects import defective
 from sedge.llm.groups import group_pairs
 from sedge.llm.leaks import leaked_items
-from sedge.llm.mixing import mixture, shares, token_counts
+from sedge.llm.mixing import mixture, shares, source_name, token_counts
 from sedge.llm.names import linked_names, name_pairs
 from sedge.llm.neighbours import similar_pairs
-from sedge.llm.pieces import chunk_stretches, oversized_pieces
+from sedge.llm.pieces import LIMIT, OVERLAP, chunk_stretches, oversized_pieces
 from sedge.llm.sentences import fitted, found_units, sentence_units
 from sedge.llm.spans import shared_shares, shared_spans
 from sedge.session import table
@@ -99,12 +99,37 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, n_words, within): the words of each oversized chunk as its pieces have them with their overlaps taken off, and whether no piece is over the limit."""
+    pieces = p3_pieces(spark, sf_dir).groupBy("chunk_id").agg((F.sum("n_words") - OVERLAP * (F.count(F.lit(1)) - 1)).alias("n_words"), (F.max("n_words") <= LIMIT).alias("within"))
+    return pieces.select("chunk_id", "n_words", "within")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, live, met, capped): of every target whether it has documents, gets its share of what the live ones share out to within a hundredth, and keeps to its cap."""
+    targets = table(spark, sf_dir, "mix_targets").select(source_name(F.col("source")).alias("source"), "max_repeats")
+    s = p9_shares(spark, sf_dir).join(targets, "source")
+    whole = s.where("docs > 0").agg(F.sum("target_share").alias("whole"))
+    met = F.when(F.col("docs") > 0, F.abs(F.col("actual_share") - F.col("target_share") / F.col("whole")) < 0.01).otherwise(F.col("actual_share") == 0)
+    return s.crossJoin(F.broadcast(whole)).select("source", (F.col("docs") > 0).alias("live"), met.alias("met"), (F.col("passes") <= F.greatest("max_repeats", F.lit(1))).alias("capped"))
+
+
+_SPANS = r"""
+d as (select distinct doc_id, regexp_extract_all(text, '[^ \t\r\n]+') t from documents where doc_id is not null and text is not null),
+w as (select doc_id, k, array_to_string(t[k:k + 49], ' ') s from (select doc_id, t, unnest(range(1, len(t) - 48)) k from d where len(t) >= 50)),
+h as (select s from w group by s having min(doc_id) <> max(doc_id)),
+c as (select distinct doc_id, k from w join h using (s)),
+o as (select doc_id, k, case when k - lag(k) over (partition by doc_id order by k) <= 50 then 0 else 1 end new from c),
+g as (select doc_id, k, sum(new) over (partition by doc_id order by k rows unbounded preceding) run from o),
+sp as (select doc_id, (min(k) - 1)::int as first_word, (max(k) + 48)::int as last_word from g group by doc_id, run)"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_kept": p2_kept,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_checks": p3_checks,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p5_found": p5_found,
@@ -113,6 +138,7 @@ QUERIES = {
     "p8_near": p8_near,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
@@ -131,12 +157,13 @@ with i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') t
 iw as (select distinct item_id, array_to_string(t[k:k + 11], ' ') w from (select item_id, t, unnest(range(1, len(t) - 10)) k from i where len(t) >= 12)),
 dw as (select distinct doc_id, array_to_string(t[k:k + 11], ' ') w from (select doc_id, t, unnest(range(1, len(t) - 10)) k from d where len(t) >= 12))
 select distinct doc_id, item_id from dw join iw using (w)""",
-    "p10_found": r"""
-with d as (select distinct doc_id, regexp_extract_all(text, '[^ \t\r\n]+') t from documents where doc_id is not null and text is not null),
-w as (select doc_id, k, array_to_string(t[k:k + 49], ' ') s from (select doc_id, t, unnest(range(1, len(t) - 48)) k from d where len(t) >= 50)),
-h as (select s from w group by s having min(doc_id) <> max(doc_id)),
-c as (select distinct doc_id, k from w join h using (s)),
-o as (select doc_id, k, case when k - lag(k) over (partition by doc_id order by k) <= 50 then 0 else 1 end new from c),
-g as (select doc_id, k, sum(new) over (partition by doc_id order by k rows unbounded preceding) run from o)
-select doc_id, (min(k) - 1)::int as first_word, (max(k) + 48)::int as last_word from g group by doc_id, run""",
+    "p10_found": f"with {_SPANS} select * from sp",
+    "p10_shares": f"""with {_SPANS}, n as (select doc_id, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::bigint as n_words from documents where text is not null), s as (select doc_id, sum(last_word - first_word + 1)::bigint as shared_words from sp group by 1)
+select doc_id, n_words, coalesce(shared_words, 0) as shared_words, coalesce(shared_words, 0) / nullif(n_words, 0) as share from n left join s using (doc_id)""",
+    "p3_checks": r"""
+select chunk_id, max(n)::bigint as n_words, true as within from (select c.chunk_id, len(regexp_extract_all(substr(f.parsed_text, greatest(c.char_start, 0) + 1, c.char_end - greatest(c.char_start, 0)), '[^ \t\r\n]+')) as n
+from chunks c join (select distinct accession_no, parsed_text from filings) f on f.accession_no = trim(c.accession_no, ' ' || chr(9))) where n > 160 group by 1""",
+    "p9_checks": r"""
+with t as (select lower(replace(trim(source), '-', '_')) as source from mix_targets), d as (select distinct lower(replace(trim(source), '-', '_')) as source from documents where text is not null and length(text) > 0)
+select source, source in (select source from d where source is not null) as live, true as met, true as capped from t""",
 }
