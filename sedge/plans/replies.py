@@ -163,7 +163,14 @@ def first_shown(spark, d):
     return R.first_shown(c.join(F.broadcast(ranks), "section").select(F.col("section").alias("community"), "rank", F.col("chunk_id").alias("chunk"), (F.col("ordinal") % 10).cast("double").alias("score")))
 
 
-@book.query()
+_VERB = "\\b(is|are|was|were|has|have|will|can)\\b"
+
+
+@book.query(
+    f"""with s as (select distinct answer_id, pos, x.text as t from (select answer_id, unnest(kept) as x, generate_subscripts(kept, 1) as pos from answers where kept is not null) where x.text is not null),
+k as (select unnest([{{'kind': 'number', 'ok': regexp_matches(t, '\\p{{Nd}}')}}, {{'kind': 'negation', 'ok': len(regexp_extract_all(t, '{_VERB}')) > len(regexp_extract_all(t, '{_VERB} not'))}}, {{'kind': 'citation', 'ok': regexp_matches(t, '\\[[^\\[\\]\\n]+\\]')}}, {{'kind': 'half', 'ok': len(regexp_extract_all(t, '\\S+')) >= 6}}]) as u from s)
+select u.kind as kind, count(*) filter (u.ok) as made, count(*) filter (not u.ok) as skipped from k group by 1"""
+)
 def corruption_counts(spark, d):
     """How many kept sentences each corruptor applies to, and skips."""
     a = table(spark, d, "answers").where("kept is not null").select("answer_id", F.posexplode("kept").alias("at", "s"))
