@@ -12,7 +12,7 @@ from sedge.operators import graph as G
 from sedge.operators import questions as Q
 from sedge.operators.components import components
 from sedge.operators.store import chunk_texts, current_filings
-from sedge.plans.store import TEXTS
+from sedge.plans.store import CUR_F, TEXTS
 from sedge.session import table
 
 book = Book()
@@ -55,12 +55,39 @@ def extraction_triples(spark, d):
     return X.rejections(X.checked_triples(r, X.checked_nodes(r, LABELS), allowed, ["AFFECTS"]))
 
 
+def _listed(spark, d):
+    f = current_filings(table(spark, d, "filings"), ["cik", "form_type", "fiscal_period", "report_date"])
+    names = table(spark, d, "filer_entries").groupBy("cik").agg(F.min("ticker").alias("ticker"), F.min("name").alias("name"))  # a fixed, small list
+    return f.join(F.broadcast(names), "cik").drop("cik")
+
+
 @book.query()
 def question_filters(spark, d):
-    f = current_filings(table(spark, d, "filings"), ["cik", "form_type", "fiscal_period", "report_date"])
-    f = f.join(F.broadcast(table(spark, d, "filer_entries").select("cik", "ticker")), "cik").drop("cik")
     a = table(spark, d, "answers").where("question is not null").select("question_id", "question").distinct()
-    return Q.question_filters(a.groupBy("question_id").agg(F.min("question").alias("question")), f, "question_id", "question", table(spark, d, "filer_entries").select("ticker", "name"))
+    return Q.question_filters(a.groupBy("question_id").agg(F.min("question").alias("question")), _listed(spark, d).drop("name"), "question_id", "question", table(spark, d, "filer_entries").select("ticker", "name"))
+
+
+@book.query(
+    f"""with {CUR_F}, n as (select cik, min(ticker) as ticker from filer_entries group by 1), f as (select accession_no, form_type, fiscal_period, report_date, ticker, split_part(fiscal_period, '-', 1) as fy, ascii(right(accession_no, 1)) % 4 as k from cf join n using (cik)),
+tot as (select count(*) as total from f), m as (
+select q.accession_no as key, f.accession_no as acc from f q join f on f.ticker = q.ticker and f.fy = q.fy where q.k = 0 union all
+select q.accession_no, f.accession_no from f q join f on f.ticker = q.ticker and (f.fiscal_period = q.fiscal_period or (q.fiscal_period = q.fy and f.fy = q.fy)) where q.k = 1 union all
+select q.accession_no, (select arg_max(x.accession_no, (x.report_date, x.accession_no)) from f x where x.ticker = q.ticker and x.form_type = '10-K') from f q where q.k = 2 union all
+select q.accession_no, f.accession_no from f q join f on f.form_type = '10-Q' where q.k = 3),
+g as (select key, count(distinct acc) as c, array_to_string(list_sort(list(distinct acc)), ' ') as accessions from m where acc is not null group by 1)
+select q.accession_no as key, case when c > 0 and c < total then accessions end as accessions from f q cross join tot left join g on g.key = q.accession_no"""
+)
+def filters_of_filings(spark, d):
+    """A question about each filing, by its company's name or ticker and its year, its period, the latest annual report, or all quarterly ones: the filings its filter selects."""
+    f = _listed(spark, d)
+    k = F.ascii(F.expr("right(accession_no, 1)")) % 4
+    year = F.substring("fiscal_period", 3, 4)
+    text = (
+        F.when(k == 0, F.concat(F.lit("What did "), "name", F.lit(" report in fiscal "), year, F.lit("?"))).when(k == 1, F.concat(F.lit("What did "), "ticker", F.lit(" say for "), "fiscal_period", F.lit("?")))
+        .when(k == 2, F.concat(F.lit("What is in the latest 10-K of "), "ticker", F.lit("?"))).otherwise(F.lit("What do the 10-Q reports say?"))
+    )
+    got = Q.question_filters(f.select(F.col("accession_no").alias("key"), text.alias("text")), f.drop("name"), "key", "text", f.select("ticker", "name").distinct())
+    return got.select("key", F.array_join("accessions", " ").alias("accessions"))
 
 
 @book.query(
