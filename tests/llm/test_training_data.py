@@ -92,7 +92,9 @@ def test_no_jobs_before_an_action(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_nearest_copies_and_bad_vectors(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_nearest_copies_and_bad_vectors(spark, most, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_COPIES", most)
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.01]), ("z", [0.0, 0.0]), ("n", None), ("e", [float("nan"), 1.0]), ("a", [1.0, 0.0]), (None, [1.0, 1.0]), ("h", [1.0, None])]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
     got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, "chunk_id", "embedding", 5, 0.8).collect()}
@@ -279,7 +281,9 @@ def _brute_groups(pairs):
     return {k: find(k) for k in root}
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_groups(spark, few, monkeypatch):
+    monkeypatch.setattr(groups, "FEW", few)  # in one partition, and over all
     rng = random.Random(9)
     pairs = [(f"c{k:04d}", f"c{k + 1:04d}", True) for k in range(150)] + [("hub", f"h{k}", True) for k in range(200)]
     pairs += [(f"r{rng.randrange(300)}", f"r{rng.randrange(300)}", rng.random() < 0.4) for _ in range(300)]
