@@ -256,3 +256,21 @@ def test_files(spark, tmp_path):
         I.upsert_graph(df, df, df, str(tmp_path / "graph"), ["k"], ["k"])
     I.upsert_graph(spark.createDataFrame([(1, "new")], df.schema), df.where("false"), df.where("false"), str(tmp_path / "graph"), ["k"], ["k"])
     assert rows(spark.read.parquet(str(tmp_path / "graph/nodes"))) == [(1, "new"), (2, "b")] and rows(spark.read.parquet(str(tmp_path / "graph/edges"))) == [(1, "a"), (2, "b")]
+
+
+def test_components_in_one_partition_and_over_all(spark, monkeypatch):
+    from sedge.operators import components as K
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 100 + k) for k in range(1, 40)] + [(200 + k, 201 + k) for k in range(30)] + [(None, 1), (5, 5)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    root = {x: x for p in pairs if None not in p for x in p}
+    for _ in range(70):
+        for a, b in pairs:
+            if a is not None and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    linked = {x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for few in (500_000, 0):
+        monkeypatch.setattr(K, "FEW", few)
+        assert {r.key: r.root for r in K.components(df, "a", "b").collect()} == {x: root[x] for x in linked}
+    assert K.components(df.where("false"), "a", "b").count() == 0
