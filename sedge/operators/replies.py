@@ -14,6 +14,7 @@ from sedge.functions.text import changed_number
 from sedge.operators.graph import confidence_rank
 from sedge.operators.linking import agree, resolution
 from sedge.operators.metrics import wilson
+from sedge.operators.skew import salted_join
 
 SUBJECTS = ("Company", "Segment", "MarketPlatform", "Product")
 
@@ -130,11 +131,16 @@ def report_problems(reports: DataFrame, evidence: DataFrame) -> DataFrame:
 
     reports: community, finding, chunks (array); evidence: community, chunk.
     """
-    held = evidence.groupBy("community").agg(F.collect_set("chunk").alias("__held"))
-    r = reports.join(held, "community", "left")
-    outside = F.size(F.array_except("chunks", F.coalesce("__held", F.array().cast("array<string>")))) > 0
-    reason = F.when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, "uncited").when(outside, "foreign")
-    return r.select("community", "finding", reason.alias("reason")).where("reason is not null")
+    held = evidence.where("community is not null and chunk is not null").select(F.struct("community", "chunk").alias("__key")).distinct()
+    cited = F.coalesce(F.size("chunks"), F.lit(0))
+    uncited = reports.where(cited <= 0).select("community", "finding", F.lit("uncited").alias("reason"))
+    # citations are compared one by one, never with the whole list of a community, which may be as long as the table
+    one = reports.where(cited > 0).select("community", "finding", "chunks", F.posexplode(F.array_distinct("chunks")).alias("pos", "chunk")).withColumn("__key", F.struct("community", "chunk")).drop("chunk")
+    outside = salted_join(one, held, "__key", "left_anti")
+    # findings that are equal throughout have the same citations outside, so rows by citations give how many there were
+    times = outside.groupBy("community", "finding", "chunks").agg((F.count(F.lit(1)) / F.count_distinct("pos")).cast("int").alias("times"))
+    foreign = times.select("community", "finding", F.explode(F.array_repeat(F.lit("foreign"), F.col("times"))).alias("reason"))
+    return uncited.unionByName(foreign)
 
 
 def routing_problems(routes: DataFrame, classes: list[str], arms: list[str]) -> DataFrame:

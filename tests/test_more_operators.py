@@ -193,6 +193,18 @@ def test_replies_and_corruptions(spark):
     assert {(r.id, r.kind) for r in R.corrupted(s, "id", "text", "others").collect() if r.text} == {(2, "number"), (2, "negation")}
 
 
+def test_report_problems(spark):
+    reports = spark.createDataFrame(
+        [("a", 1, ["x"]), ("a", 2, ["x", "q", "q", "r"]), ("a", 2, ["x", "q", "q", "r"]), ("a", 3, []), ("a", 4, None), ("a", 5, ["x", None]), ("b", 6, ["x"]), ("b", 7, ["y", "y"]), (None, 8, ["x"]), ("c", 9, ["y"])],
+        "community string, finding int, chunks array<string>",
+    )
+    evidence = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "y"), (None, "x")], "community string, chunk string")
+    out = R.report_problems(reports, evidence)
+    assert sorted((r.finding, r.reason) for r in out.collect()) == [(2, "foreign"), (2, "foreign"), (3, "uncited"), (4, "uncited"), (5, "foreign"), (6, "foreign"), (8, "foreign"), (9, "foreign")]
+    # no list of all chunks of a community is held beside each of its findings
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_two_levels_of_communities(spark):
     from sedge.operators import communities as CM
 
