@@ -41,8 +41,6 @@ COMPANIONS = 4
 SOFT, TYPO, SHORT, INITIAL = 0.6, 0.9, 0.8, 0.7
 #: A nickname needs so many families with both forms, so large a share of its own families, and so many times as many as by chance.
 NICK_FAMILIES, NICK_SHARE, NICK_LIFT = 3, 0.5, 3.0
-#: Nicknames are learned from family names of at most so many given names: common ones tell nothing (a bound of the training rows).
-NICK_GIVEN = 12
 
 # fixed values: titles, credentials, legal forms, filler words
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "hon", "sir", "officer", "director", "chair", "president", "rev", "judge"}
@@ -221,15 +219,22 @@ def nicknames(given: DataFrame) -> DataFrame:
     """(token, full): short and other forms of given names, learned from rows (family, token) of the given names that stand with a family name.
 
     Of several candidates the one of most families in common is taken, and a form of a form is none.  Without evidence there are no rows.
+    Every family counts, however many given names it has: the more, the likelier a name stands in it by chance.  As a form shares ``needed`` of its families
+    with the full name, they meet in one of its ``n - needed + 1`` smallest (prefix filter); so large families are not paired name by name, and none is lost.
     """
     rows = cut(given.where("length(token) > 1").distinct())
-    few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("given")).where(F.col("given").between(2, NICK_GIVEN)).select("family")
-    small = rows.join(few, "family")
-    own = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= NICK_FAMILIES))
-    families = rows.agg(F.count_distinct("family").alias("families"))
-    both = small.select("family", F.col("token").alias("a")).join(small.select("family", F.col("token").alias("b")), "family").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    held = both.join(own.select(F.col("token").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b").join(F.broadcast(families))
-    good = held.where((F.col("both") >= NICK_FAMILIES) & (F.col("nb") > F.col("na")) & (F.col("both") >= NICK_SHARE * F.col("na")) & (F.col("both") * F.col("families") >= NICK_LIFT * F.col("na") * F.col("nb")))
+    own = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= NICK_FAMILIES)
+    size = rows.groupBy("family").agg(F.count(F.lit(1)).alias("given"))
+    known = cut(salted_join(salted_join(rows, own, "token"), size, "family"))
+    needed = F.greatest(F.lit(NICK_FAMILIES), F.ceil(NICK_SHARE * F.col("n")))
+    prefix = known.withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy("given", "family"))).where(F.col("at") <= F.col("n") - needed + 1)
+    met = prefix.select("family", F.col("token").alias("a"), F.col("n").alias("na")).join(known.select("family", F.col("token").alias("b"), F.col("n").alias("nb")), "family")
+    pairs = met.where("nb > na").select("a", "b", "na", "nb").distinct()
+    beside = pairs.join(known.select(F.col("token").alias("a"), "family", "given"), "a").join(known.select(F.col("token").alias("b"), "family", F.lit(1).alias("held")), ["b", "family"], "left")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    chance = 1 - F.exp(-F.col("nb") * (F.col("given") - 1) / F.col("total"))  # that a name of nb families is beside another one in this one
+    scored = beside.join(F.broadcast(total)).groupBy("a", "b", "na").agg(F.count("held").alias("both"), F.sum(chance).alias("chance"))
+    good = scored.where((F.col("both") >= NICK_FAMILIES) & (F.col("both") >= NICK_SHARE * F.col("na")) & (F.col("both") >= NICK_LIFT * F.col("chance")))
     best = cut(good.groupBy(F.col("a").alias("token")).agg(F.max_by("b", F.struct("both", "b")).alias("full")))
     return best.join(best.select(F.col("token").alias("full")), "full", "left_anti").select("token", "full")
 

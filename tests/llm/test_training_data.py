@@ -189,6 +189,19 @@ def test_names(spark):
     assert names.linked_names(nodes.where("false"), entries.where("false")).count() == 0
 
 
+def test_nicknames_of_large_families(spark):
+    # families of 15 to 40 given names teach too
+    rows = [(f"f{k}", g) for k in range(5) for g in ("deborah", "debbie", *(f"own{k}x{n}" for n in range(13 + 6 * k)))] + [("f9", "deborah")]
+    rows += [(f"o{k}", f"else{k}x{n}") for k in range(60) for n in range(15)]
+    # three that hold nearly every name: who stands in them only stands beside each of them by chance
+    rows += [(f"all{k}", f"common{n}") for k in range(3) for n in range(400)] + [(f"s{n}x{k}", f"common{n}") for n in range(400) for k in range(n % 3)]
+    rows += [(f"all{k}", "rare") for k in range(3)]
+    # small families teach, even if both forms stand in large ones without the other
+    rows += [(f"p{k}", g) for k in range(6) for g in ("robert", "bob")] + [("p9", "robert"), ("p8", "robert"), ("all0", "bob"), ("all1", "robert")]
+    got = names.nicknames(spark.createDataFrame(rows, "family string, token string")).collect()
+    assert {tuple(r) for r in got if r.token in ("debbie", "deborah", "bob", "robert", "rare")} == {("debbie", "deborah"), ("bob", "robert")}
+
+
 def test_a_proper_name_beside_many_tokens_decides(spark):
     firms = ["Vogekudux Energy Systems", "Vogekudux Capital Partners LLC", "Capital Partners Vogekudux", "Energy Systems, Vogekudux Inc."]
     more = [f"{b} {s}" for b in ("Alphatron", "Betamixor", "Gammavent", "Deltapolis", "Epsilorta", "Zetaquorn") for s in ("Energy Systems", "Capital Partners")]
