@@ -1,7 +1,8 @@
 """Most similar vectors for every vector (problem 1).
 
 Index: one low-dimensional stable (Gaussian) projection, indexed by a kd-tree, one coordinate a level, whose split
-values are medians of a sample; its leaves are the partitions of the search.  The difference of two
+values are medians of a sample.  Its leaves say which vectors are compared; its upper levels, the regions, are the
+partitions of the search, so that a vector is moved once a region, however many leaves it visits there.  The difference of two
 vectors at distance d is, in each projected coordinate, d times a standard normal variable, so its
 squares over d^2 are chi-square distributed.
 
@@ -13,8 +14,9 @@ squares over d^2 are chi-square distributed.
    each leaf the chance that a neighbour at D is in it; a vector stops when the chance that such a neighbour
    is in none of its leaves has come down to ``miss``.  It has no other end: a vector visits as many leaves
    as its own test asks for, up to all of them.
-3. In every leaf residents and visitors are verified against each other.  Two vectors meet if their
-   leaves have one in common, so a pair is only lost if the tests of both its sides fail.
+3. In every leaf residents are verified against each other and against the visitors, never visitors against visitors:
+   their number grows with the table, and its square with it.  A pair is only lost if neither side visits the
+   other's own leaf, that is if the tests of both its sides fail.
 
 New neighbours only bring D down, so a test that held still holds after the second verification.
 
@@ -36,14 +38,16 @@ from sedge.operators.skew import salted_join
 from sedge.session import cut, drop, spread
 
 #: Vectors a leaf, if there are many; fewer where else there were less than LEAVES a core, but not less than LEAST.
-LEAF, LEAVES, LEAST = 4096, 4, 64
+LEAF, LEAVES, LEAST = 1024, 4, 64
+#: Vectors a region, if there are many; fewer where else there were less than REGIONS a core.
+REGION, REGIONS = 300_000, 2
 #: The medians are of about so many vectors, of least hash, and of so many a leaf.
 SAMPLE, SAMPLE_LEAF = 20_000, 16
 #: Up to so many vectors that are copies of another one are named in a broadcast; beyond it they are taken out by a join.
 MOST_COPIES = 2_000_000
 _SCALE = 32767.0
-#: Rows of one block of similarities.
-BLOCK = 512
+#: Rows of one block of similarities, and of visitors looked for at once.
+BLOCK, SLICE = 512, 4096
 
 
 def clean_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -162,8 +166,24 @@ def verified(x: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np
     return _top(*(np.concatenate(z) for z in zip(*held)), k)
 
 
-def _homes(shared, redundant):
-    """Rows (id, code, leaf): each representative in its own leaf; the sorted ``redundant`` ids are left out."""
+def between(v: np.ndarray, x: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``v``, row of ``x``, cosine): pairs of cosine ``floor`` or more, or those among the ``k`` most similar of either side."""
+    held = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+    for start in range(0, len(v) if len(x) else 0, BLOCK):
+        s = v[start : start + BLOCK] @ x.T
+        if floor is not None:
+            r, c = np.nonzero(s >= floor)
+        else:
+            keep, wide = min(k, len(x)), min(k, len(s))
+            r1, c1 = np.repeat(np.arange(len(s)), keep), np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
+            r2, c2 = np.argpartition(-s, wide - 1, axis=0)[:wide].ravel(), np.tile(np.arange(len(x)), wide)
+            r, c = np.divmod(np.unique(np.concatenate([r1 * len(x) + c1, r2 * len(x) + c2])), len(x))
+        held.append((r + start, c, s[r, c]))
+    return tuple(np.concatenate(z) for z in zip(*held))
+
+
+def _homes(shared, redundant, local: int):
+    """Rows (id, code, leaf, region): each representative in its own leaf; the sorted ``redundant`` ids are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gone = redundant.value
@@ -171,45 +191,153 @@ def _homes(shared, redundant):
             at = np.minimum(np.searchsorted(gone, pdf["id"].to_numpy()), max(len(gone) - 1, 0))
             own = pdf if not len(gone) else pdf[gone[at] != pdf["id"].to_numpy()]
             if len(own):
-                yield own.assign(leaf=shared.value.leaf(_unit(own["code"])))
+                leaf = shared.value.leaf(_unit(own["code"]))
+                yield own.assign(leaf=leaf, region=leaf >> local)
 
     return run
 
 
-def _visiting(shared, k: int, floor: float | None, miss: float):
-    """The residents of a leaf, and each again for every further leaf its test asks for."""
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(region, rows) of batches that are sorted by region; one region may come in several pieces."""
+    for pdf in batches:
+        region = pdf["region"].to_numpy()
+        ends = np.append(np.flatnonzero(region[1:] != region[:-1]) + 1, len(region))
+        for start, end in zip(np.append(0, ends[:-1]), ends):
+            if end > start:
+                yield int(region[start]), pdf.iloc[start:end]
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with its places."""
+    order = np.argsort(values, kind="stable")
+    starts = np.flatnonzero(np.diff(values[order], prepend=-1))
+    for start, end in zip(starts, np.append(starts[1:], len(order))):
+        yield int(values[order[start]]), order[start:end]
+
+
+def _visiting(shared, local: int, k: int, floor: float | None, miss: float):
+    """Rows (id, code, region, away, at): the residents of each region, and each again for every further region its test asks for.
+
+    ``at`` holds the leaves there by their number in the region; that of a resident begins with its own.
+    """
     far = 9.0 if floor is None else float(np.sqrt(max(2 - 2 * floor, 1e-9)))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(pdf["code"])
-        a, _, s = verified(x, k, floor)
-        worst, count = np.full(len(x), np.inf), np.bincount(a, minlength=len(x))
-        np.minimum.at(worst, a, s)
-        d = np.where(count >= k, np.sqrt(np.maximum(2 - 2 * worst, 1e-9)), far)
-        row, leaf = shared.value.visits(x, np.minimum(d, far), miss)
-        away = pdf.iloc[row].assign(leaf=leaf)
-        return pd.concat([pdf, away], ignore_index=True)
+    def visits(region: int, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x, own = _unit(pdf["code"]), pdf["leaf"].to_numpy(dtype=np.int64)
+        worst, count = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+        for _, rows in _runs(own):
+            a, _, s = verified(x[rows], k, floor)
+            np.minimum.at(worst, rows[a], s)
+            count[rows] = np.bincount(a, minlength=len(rows))
+        d = np.minimum(np.where(count >= k, np.sqrt(np.maximum(2 - 2 * worst, 1e-9)), far), far)
+        for start in range(0, len(x), SLICE):
+            some = slice(start, start + SLICE)
+            row, leaf = shared.value.visits(x[some], d[some], miss)
+            row, leaf = np.concatenate([np.arange(len(x[some])), row]), np.concatenate([own[some], leaf])
+            to, first = leaf >> local, np.arange(len(row)) >= len(x[some])
+            order = np.lexsort((leaf, first, to, row))
+            row, leaf, to = row[order], leaf[order], to[order]
+            begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
+            numbers = (leaf & ((1 << local) - 1)).astype("<u4")
+            ends = np.append(begins[1:], len(row))
+            met = pdf.iloc[start + row[begins]][["id", "code"]]
+            yield met.assign(region=to[begins], away=to[begins] != region, at=[numbers[b:e].tobytes() for b, e in zip(begins, ends)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = -1, []
+        for region, pdf in _stretches(batches):
+            if region != now and parts:
+                yield from visits(now, pd.concat(parts, ignore_index=True))
+                parts = []
+            now = region
+            parts.append(pdf)
+        if parts:
+            yield from visits(now, pd.concat(parts, ignore_index=True))
 
     return run
 
 
+class Region:
+    """The residents of one region by leaf; visitors are verified against them as they come, and only residents are held."""
+
+    def __init__(self, pdf: pd.DataFrame, k: int, floor: float | None):
+        self.k, self.floor = k, floor
+        own = np.array([int.from_bytes(a[:4], "little") for a in pdf["at"]], dtype=np.int64)
+        self.rows = pdf.iloc[np.argsort(own, kind="stable")]
+        own = np.sort(own)
+        self.ids, self.x = self.rows["id"].to_numpy(), _unit(self.rows["code"])
+        self.of = {leaf: slice(at[0], at[-1] + 1) for leaf, at in _runs(own)}
+
+    def residents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in self.of.values():
+            a, b, s = verified(self.x[at], self.k, self.floor)
+            yield self.ids[at][a], self.ids[at][b], s
+        yield from self.visitors(self.rows.assign(at=[a[4:] for a in self.rows["at"]]))
+
+    def visitors(self, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for start in range(0, len(pdf), SLICE):
+            some = pdf.iloc[start : start + SLICE]
+            ids, v = some["id"].to_numpy(), _unit(some["code"])
+            row = np.repeat(np.arange(len(some)), [len(a) // 4 for a in some["at"]])
+            for leaf, places in _runs(np.frombuffer(b"".join(some["at"]), dtype="<u4").astype(np.int64)):
+                at = self.of.get(leaf)
+                if at is not None:
+                    r, c, s = between(v[row[places]], self.x[at], self.k, self.floor)
+                    a, b = ids[row[places][r]], self.ids[at][c]
+                    yield np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+
+
 def _verified(k: int, floor: float | None):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        a, b, s = verified(_unit(pdf["code"]), k, floor)
-        return pd.DataFrame({"id": ids[a], "other": ids[b], "sim": s})
+    """(id, other, sim) of rows sorted by region, residents first."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        now, parts, held = -1, [], None
+        for region, pdf in _stretches(batches):
+            if region != now:
+                if parts:
+                    yield from Region(pd.concat(parts, ignore_index=True), k, floor).residents()
+                now, parts, held = region, [], None
+            away = pdf["away"].to_numpy()
+            if not away.all():
+                parts.append(pdf[~away])
+            if away.any():
+                if parts:
+                    held, parts = Region(pd.concat(parts, ignore_index=True), k, floor), []
+                    yield from held.residents()
+                if held is not None:
+                    yield from held.visitors(pdf[away])
+        if parts:
+            yield from Region(pd.concat(parts, ignore_index=True), k, floor).residents()
+
+    def best(found: list) -> pd.DataFrame:
+        a, b, s = (np.concatenate(z) for z in zip(*found))
+        order = np.lexsort((-s, b, a))  # two vectors may visit each other
+        a, b, s = a[order], b[order], s[order]
+        once = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
+        return pd.DataFrame(dict(zip(("id", "other", "sim"), _top(a[once], b[once], s[once], k))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending, size = [], 0
+        for one in found(batches):
+            pending.append(one)
+            size += len(one[0])
+            if size > 1_000_000:
+                yield best(pending)
+                pending, size = [], 0
+        if pending:
+            yield best(pending)
 
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.3, leaf: int = LEAF) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float | None = None, miss: float = 0.1, leaf: int = LEAF) -> DataFrame:
     """(id_a, id_b, cosine): up to ``k`` most similar other ids of every id, of cosine ``min_sim`` or more if that is given.
 
     All vectors must have one length.  Ids with null, empty, all-zero or non-finite vectors take no part; repeated
     ids count once, by the vector of least md5.  Of a group of equal vectors each member gets the k members of smallest id (cosine 1), and if there are
     fewer the neighbours of the group.  An empty table gives no rows.  Answers are approximate: ``miss`` is the chance of one
     side's leaves to hold no neighbour at the distance of its k-th neighbour or of ``min_sim``; a pair is lost where
-    those of both sides have none in common, which is far less likely, and less still for nearer pairs.
+    neither side visits the other's own leaf, which is less likely, and far less still for nearer pairs.
     Similarities are of vectors rounded to 16 bits a coordinate (error below 1e-4).
     """
     spark = df.sparkSession
@@ -223,6 +351,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
     if total > 1:
         wanted = max(log2(total / leaf), log2(LEAVES * spark.sparkContext.defaultParallelism))
         depth = max(0, ceil(min(wanted, log2(total / LEAST))))
+        local = depth - max(0, min(depth, ceil(max(log2(total / REGION), log2(REGIONS * spark.sparkContext.defaultParallelism)))))
         width = packed.select((F.length("code") / 2).cast("int")).first()[0]
         project = np.random.default_rng(100).standard_normal((width, depth)).astype(np.float32)
         share = min(1.0, max(SAMPLE, SAMPLE_LEAF << depth) / total)
@@ -241,11 +370,10 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, min_sim: float
         else:
             base, extra = base.join(groups.select(F.col("n").alias("id")), "id", "left_semi"), np.zeros(0, dtype=np.int64)
         redundant = spark.sparkContext.broadcast(np.sort(extra))
-        rows = "id long, code binary, leaf long"
-        parts = 2 << depth if depth < 10 else 1 << depth
-        home = base.mapInPandas(_homes(shared, redundant), rows).repartition(parts, "leaf")
-        met = home.groupBy("leaf").applyInPandas(_visiting(shared, k, min_sim, miss), rows).repartition(parts, "leaf")
-        pairs = met.groupBy("leaf").applyInPandas(_verified(k, min_sim), "id long, other long, sim float")
+        parts = 2 << (depth - local) if depth - local < 10 else 1 << (depth - local)
+        home = base.mapInPandas(_homes(shared, redundant, local), "id long, code binary, leaf int, region int").repartition(parts, "region").sortWithinPartitions("region")
+        met = home.mapInPandas(_visiting(shared, local, k, min_sim, miss), "id long, code binary, region int, away boolean, at binary")
+        pairs = met.repartition(parts, "region").sortWithinPartitions("region", "away").mapInPandas(_verified(k, min_sim), "id long, other long, sim float")
         distinct = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
         order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
         found = cut(distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "sim"))

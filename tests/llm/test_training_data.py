@@ -78,6 +78,34 @@ def test_visits_hold_the_wanted_chance():
     assert len(far) == 300 * 127  # as many leaves as the test asks for, up to all
 
 
+def test_vectors_are_moved_once_a_region_and_visitors_not_compared():
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(9)
+    project = rng.standard_normal((24, 8)).astype(np.float32)
+    x = rng.standard_normal((2000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = neighbours.Tree(project, x @ project)
+    shared = SimpleNamespace(value=tree)
+    packed = next(neighbours._pack(iter([pd.DataFrame({"id": np.arange(2000), "vec": list(x)})])))
+    homes = next(neighbours._homes(shared, SimpleNamespace(value=np.zeros(0, dtype=np.int64)), 5)(iter([packed]))).sort_values("region", kind="stable")
+    met = pd.concat(neighbours._visiting(shared, 5, 5, 0.8, 0.3)(homes.iloc[k : k + 300] for k in range(0, 2000, 300)), ignore_index=True)
+    assert not met.duplicated(["id", "region"]).any() and set(met.region) == set(range(8)) and (~met.away).sum() == 2000
+    unit = neighbours._unit(homes["code"])
+    row, leaf = tree.visits(unit, np.full(2000, np.sqrt(0.4)), 0.3)
+    ids, own = homes["id"].to_numpy(), tree.leaf(unit)
+    got = {(i, (r << 5) + n) for i, r, at in zip(met.id, met.region, met["at"]) for n in np.frombuffer(at, dtype="<u4").tolist()}
+    assert got == set(zip(ids[row].tolist(), leaf.tolist())) | set(zip(ids.tolist(), own.tolist()))  # every leaf of every vector's test
+    assert len(met) * 2 < len(got)  # and far fewer vectors moved
+    met = met.sort_values(["region", "away"], kind="stable")
+    pairs = pd.concat(neighbours._verified(5, -1.0)(met.iloc[k : k + 300] for k in range(0, len(met), 300)))
+    home, held = dict(zip(ids.tolist(), own.tolist())), got
+    assert all((a, home[b]) in held or (b, home[a]) in held for a, b in zip(pairs.id, pairs.other))
+    s = x @ x.T
+    exact = {(i, j) for i in range(2000) for j in np.argsort(-s[i])[:6] if i != j and ((i, home[j]) in held or (j, home[i]) in held)}
+    assert exact <= set(zip(pairs.id, pairs.other))  # nothing that meets is lost
+
+
 def test_no_jobs_before_an_action(spark):
     from sedge.operators.skew import salted_join
     from sedge.session import spread
